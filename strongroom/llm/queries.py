@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strongroom.llm._common import documents
-from strongroom.llm import toxicity
+from strongroom.llm import pii, toxicity
 from strongroom.llm.simhash import near_duplicates
 
 
@@ -21,7 +21,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crf = pii.train(pii.labelled_table(spark))
+    base = F.filter("spans", lambda s: ~s["added"])
+    of_kind = [F.size(F.filter("spans", lambda s, k=k: ~s["added"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return pii.find(documents(spark, sf_dir), crf).select("doc_id", *of_kind, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op3_pii": op3_pii,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
