@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strongroom.llm._common import documents
-from strongroom.llm import mixing, pii, toxicity
+from strongroom.llm import mixing, pii, sentencepiece_scan, toxicity
 from strongroom.llm.simhash import near_duplicates
 
 
@@ -14,6 +14,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encoded_and_back(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -28,12 +32,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     crf = pii.train(pii.labelled_table(spark))
     base = F.filter("spans", lambda s: ~s["added"])
-    of_kind = [F.size(F.filter("spans", lambda s, k=k: ~s["added"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of_kind = [F.expr(f"cast(size(filter(spans, s -> not s.added and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
     return pii.find(documents(spark, sf_dir), crf).select("doc_id", *of_kind, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
 QUERIES = {
     "op3_pii": op3_pii,
+    "op4_sentencepiece": op4_sentencepiece,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
