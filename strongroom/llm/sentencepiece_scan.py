@@ -52,7 +52,10 @@ class Pieces:
             raise ValueError("pieces with a space mark inside are not supported")
         line = "" if "\n" in self.starts else "\n"
         self.segments = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}" if line else ""))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: The id of a piece, or -1 of what only begins one.
+        self.lookup = dict.fromkeys(self.starts, -1) | strings
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.pairs_known = 0
         self.words = _Words(self)
 
     @classmethod
@@ -95,11 +98,11 @@ class Pieces:
             return True
         if a < 0:
             a = _START
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > _CACHE * 2:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._merge(self.names.get(a, ""), self.names[b])
-        return known
+        known = self.pairs.setdefault(a, {})
+        if b not in known:
+            self.pairs_known += 1
+            known[b] = self._merge(self.names.get(a, ""), self.names[b])
+        return known[b]
 
     def _merge(self, a: str, b: str) -> bool:
         parts, edge = [*a, *b], len(a)
@@ -167,10 +170,49 @@ class Pieces:
         return tuple(self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")) if self.byte_ids else (self.unknown_id,)
 
     def word(self, text: str) -> tuple[tuple[int, ...], float]:
+        """The ids of a text between two cuts, and their score."""
+        if self.bpe:
+            return self._allowed(text), 0.0
         best = self.forward(text, (0, 0), len(text))
         total, start, _ = best[len(text)]
         return tuple(self.back(text, best, (0, 0), (start, len(text)))), total
 
+    def _allowed(self, text: str) -> tuple[int, ...]:
+        """forward() and back() for BPE from a cut, where each end has one allowed last piece at most."""
+        n, longest, lookup, pairs = len(text), self.longest, self.lookup, self.pairs
+        last: list[int | None] = [None] * (n + 1)
+        begin = [0] * (n + 1)
+        last[0] = _START
+        for at in range(n):
+            if (a := last[at]) is None:
+                continue
+            if (known := pairs.get(a if a >= 0 else _START)) is None:
+                known = pairs[a if a >= 0 else _START] = {}
+            one = at + 1
+            for end in range(one, n + 1 if n - at <= longest else at + longest + 1):
+                if (i := lookup.get(text[at:end])) is None:
+                    break
+                if i >= 0 and last[end] is None:
+                    if (ok := known.get(i)) is None:
+                        ok = self.joined(a, i)
+                    if ok:
+                        last[end] = i
+                        begin[end] = at
+            if last[one] is None and lookup.get(text[at], -1) < 0:
+                last[one] = _UNKNOWN
+                begin[one] = at
+        found, end = [], n
+        while end:
+            start = begin[end]
+            piece = last[end]
+            if piece >= 0:
+                found.append(piece)
+            else:
+                found.extend(reversed(self.id_of(piece, text[start:end])))
+            end = start
+        found.reverse()
+        return tuple(found)
+
     # --- texts and chunks
 
     def encode(self, normal: str) -> list[int]:
@@ -253,6 +295,9 @@ class _Words(dict):
     def trim(self) -> None:
         if len(self) > _CACHE:
             self.clear()
+        if self.pieces.pairs_known > 2 * _CACHE:
+            self.pieces.pairs.clear()
+            self.pieces.pairs_known = 0
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
