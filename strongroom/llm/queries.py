@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strongroom.llm._common import documents
-from strongroom.llm import mixing, pii, sentencepiece_scan, toxicity
+from strongroom.llm import merkle, mixing, pii, sentencepiece_scan, toxicity
 from strongroom.llm.simhash import near_duplicates
 
 
@@ -29,6 +29,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited(documents(spark, sf_dir))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     crf = pii.train(pii.labelled_table(spark))
     base = F.filter("spans", lambda s: ~s["added"])
@@ -37,6 +41,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_merkle": op1_merkle,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_mixing": op8_mixing,
@@ -45,5 +50,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_merkle": merkle.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
