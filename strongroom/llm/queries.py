@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strongroom.llm._common import documents
-from strongroom.llm import merkle, mixing, pii, sentencepiece_scan, toxicity
+from strongroom.llm import langid, merkle, mixing, pii, sentencepiece_scan, toxicity
 from strongroom.llm.simhash import near_duplicates
 
 
@@ -33,6 +33,13 @@ def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited(documents(spark, sf_dir))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(toxicity.crc_of("doc_id", 5) != 0))
+    held_out = (toxicity.crc_of("doc_id", 5) == 0).alias("held_out")
+    return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     crf = pii.train(pii.labelled_table(spark))
     base = F.filter("spans", lambda s: ~s["added"])
@@ -42,6 +49,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_merkle": op1_merkle,
+    "op2_langid": op2_langid,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_mixing": op8_mixing,
