@@ -343,7 +343,8 @@ def encode_column(model: str):
         p = _pieces(model)
         return pd.Series([np.array(p.encode(p.normal(t)), np.int32) for t in texts], index=texts.index, dtype=object)
 
-    return encode
+    # Marked so that the optimiser doesn't copy it into each use of its result.
+    return encode.asNondeterministic()
 
 
 def decode_column(model: str):
