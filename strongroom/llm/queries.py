@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strongroom.llm._common import documents
-from strongroom.llm import langid, merkle, mixing, mpeg, pii, sentencepiece_scan, toxicity
+from strongroom.llm import langid, licenses, merkle, mixing, mpeg, pii, sentencepiece_scan, toxicity
 from strongroom.llm.simhash import near_duplicates
 
 
@@ -18,6 +18,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encoded_and_back(documents(spark, sf_dir))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op7_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.stored_and_read(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_licenses": op6_licenses,
     "op7_mpeg": op7_mpeg,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
@@ -64,5 +69,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_merkle": merkle.ORACLE,
+    "op6_licenses": licenses.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
