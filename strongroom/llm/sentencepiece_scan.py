@@ -16,6 +16,7 @@ Decoding joins the pieces' bytes.  Texts come back as they were, but for U+2581,
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -32,7 +33,10 @@ from strongroom.llm._common import checkpoint, whole_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
 MARK = "▁"
-_CACHE = 1 << 18
+#: Words that are kept; as many from before are kept until they are needed again.
+_CACHE = 1 << 17
+#: Texts that are encoded together.
+_BATCH = 128
 #: The place of an unknown character and of a text's start among pieces.
 _UNKNOWN, _START = -1, -2
 
@@ -47,13 +51,20 @@ class Pieces:
         self.names = {i: s for s, i in strings.items()}
         self.longest = max(map(len, strings), default=1)
         self.starts = {s[:k] for s in strings for k in range(1, len(s) + 1)}
+        self.inside = {s[k : k + 2] for s in strings for k in range(len(s) - 1)}
         self.unknown_score = 0.0 if bpe else min((scores[i] for i in strings.values()), default=0.0) - 10.0
         if any(MARK in s.lstrip(MARK) for s in strings):
             raise ValueError("pieces with a space mark inside are not supported")
         line = "" if "\n" in self.starts else "\n"
         self.segments = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}" if line else ""))
-        #: The id of a piece, or -1 of what only begins one.
-        self.lookup = dict.fromkeys(self.starts, -1) | strings
+        #: Pieces by their characters from the last to the first: character -> (piece or -1, the next characters).
+        self.endings: dict[str, tuple] = {}
+        for piece, i in strings.items():
+            node = self.endings
+            for c in reversed(piece):
+                entry = node.setdefault(c, [-1, {}])
+                node = entry[1]
+            entry[0] = i
         self.pairs: dict[int, dict[int, bool]] = {}
         self.pairs_known = 0
         self.words = _Words(self)
@@ -96,15 +107,15 @@ class Pieces:
         """Whether BPE leaves the pieces a and b apart, each whole; a may be the start or an unknown character."""
         if not self.bpe or b == _UNKNOWN:
             return True
-        if a < 0:
-            a = _START
-        known = self.pairs.setdefault(a, {})
+        known = self.pairs.setdefault(a, {})  # the start and unknown characters have no name
         if b not in known:
             self.pairs_known += 1
             known[b] = self._merge(self.names.get(a, ""), self.names[b])
         return known[b]
 
     def _merge(self, a: str, b: str) -> bool:
+        if a and a[-1] + b[0] not in self.inside:  # no piece lies over the edge
+            return self.joined(_START, self.ids[a]) and self.joined(_START, self.ids[b])
         parts, edge = [*a, *b], len(a)
         while True:
             best, at = None, -1
@@ -172,52 +183,64 @@ class Pieces:
     def word(self, text: str) -> tuple[tuple[int, ...], float]:
         """The ids of a text between two cuts, and their score."""
         if self.bpe:
-            return self._allowed(text), 0.0
+            return next(self.allowed([text])), 0.0
         best = self.forward(text, (0, 0), len(text))
         total, start, _ = best[len(text)]
         return tuple(self.back(text, best, (0, 0), (start, len(text)))), total
 
-    def _allowed(self, text: str) -> tuple[int, ...]:
-        """forward() and back() for BPE from a cut, where each end has one allowed last piece at most."""
-        n, longest, lookup, pairs = len(text), self.longest, self.lookup, self.pairs
-        last: list[int | None] = [None] * (n + 1)
-        begin = [0] * (n + 1)
-        last[0] = _START
-        for at in range(n):
-            if (a := last[at]) is None:
-                continue
-            if (known := pairs.get(a if a >= 0 else _START)) is None:
-                known = pairs[a if a >= 0 else _START] = {}
-            one = at + 1
-            for end in range(one, n + 1 if n - at <= longest else at + longest + 1):
-                if (i := lookup.get(text[at:end])) is None:
-                    break
-                if i >= 0 and last[end] is None:
-                    if (ok := known.get(i)) is None:
+    def allowed(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+        """The BPE ids of each of the words, which are sorted.
+
+        From a cut, each end has one allowed last piece, whatever follows; so a word takes over what it shares with the one before.
+        """
+        endings, pairs = self.endings, self.pairs
+        last, begin, before = [_START], [0], ""
+        for word in words:
+            n, k, most = len(word), 0, min(len(word), len(before))
+            while k < most and word[k] == before[k]:
+                k += 1
+            del last[k + 1 :], begin[k + 1 :]
+            for end in range(k, n):
+                node, at, found = endings, end, []
+                while at >= 0 and (entry := node.get(word[at])) is not None:
+                    i, node = entry
+                    if i >= 0:
+                        found.append((at, i))
+                    at -= 1
+                for at, i in reversed(found):
+                    known = pairs.get(a := last[at])
+                    if known is None or (ok := known.get(i)) is None:
                         ok = self.joined(a, i)
                     if ok:
-                        last[end] = i
-                        begin[end] = at
-            if last[one] is None and lookup.get(text[at], -1) < 0:
-                last[one] = _UNKNOWN
-                begin[one] = at
-        found, end = [], n
-        while end:
-            start = begin[end]
-            piece = last[end]
-            if piece >= 0:
-                found.append(piece)
-            else:
-                found.extend(reversed(self.id_of(piece, text[start:end])))
-            end = start
-        found.reverse()
-        return tuple(found)
+                        last.append(i)
+                        begin.append(at)
+                        break
+                else:
+                    last.append(_UNKNOWN)
+                    begin.append(end)
+            ids, end = [], n
+            while end:
+                start, piece = begin[end], last[end]
+                if piece >= 0:
+                    ids.append(piece)
+                else:
+                    ids.extend(reversed(self.id_of(piece, word[start:end])))
+                end = start
+            ids.reverse()
+            before = word
+            yield tuple(ids)
 
     # --- texts and chunks
 
     def encode(self, normal: str) -> list[int]:
+        return self.encode_all([normal])[0]
+
+    def encode_all(self, normals: list[str]) -> list[list[int]]:
+        """The ids of each text, word by word; words that aren't known yet are found together."""
         self.words.trim()
-        return list(chain.from_iterable(map(self.words.__getitem__, self.segments.findall(normal))))
+        parts = [self.segments.findall(t) for t in normals]
+        self.words.learn({w for p in parts for w in p if w not in self.words})
+        return [list(chain.from_iterable(map(self.words.__getitem__, p))) for p in parts]
 
     def states(self, text: str, edge: int) -> list[State]:
         """The pieces that may lie over the character before the edge; the start of a text is one of its own."""
@@ -277,25 +300,26 @@ class Pieces:
 
 
 class _Words(dict):
-    """Ids of words, found when first asked for."""
+    """Ids of words that were met."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids, _ = self.pieces.word(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def learn(self, words: set[str]) -> None:
+        self.update({w: self.old[w] for w in words if w in self.old})
+        order = sorted(w for w in words if w not in self)
+        self.update(zip(order, self.pieces.allowed(order) if self.pieces.bpe else (self.pieces.word(w)[0] for w in order), strict=True))
 
     def total(self, word: str) -> float:
         return self.pieces.word(word)[1]
 
     def trim(self) -> None:
         if len(self) > _CACHE:
+            self.old = dict(self)
             self.clear()
-        if self.pieces.pairs_known > 2 * _CACHE:
+        if self.pieces.pairs_known > 4 * _CACHE:
             self.pieces.pairs.clear()
             self.pieces.pairs_known = 0
 
@@ -340,8 +364,10 @@ def _pieces(model: str | Pieces) -> Pieces:
 def encode_column(model: str):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pd.Series) -> pd.Series:
-        p = _pieces(model)
-        return pd.Series([np.array(p.encode(p.normal(t)), np.int32) for t in texts], index=texts.index, dtype=object)
+        p, out = _pieces(model), []
+        for k in range(0, len(texts), _BATCH):
+            out += [np.array(ids, np.int32) for ids in p.encode_all([p.normal(t) for t in texts.iloc[k : k + _BATCH]])]
+        return pd.Series(out, index=texts.index, dtype=object)
 
     # Marked so that the optimiser doesn't copy it into each use of its result.
     return encode.asNondeterministic()
@@ -414,9 +440,12 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
     long = F.char_length("text") > chunk
     short = rows.where(~long).select("doc_id", encode_column(model)(F.col("text")).alias("ids"))
-    keyed = rows.where(long).select("doc_id", F.sha2("text", 256).alias("sha"), "text")
-    scanned = keyed.select("doc_id", "sha").join(encode_long(keyed.select("sha", "text"), model, chunk), "sha").select("doc_id", "ids")
-    return short.unionByName(scanned)
+    return short.unionByName(_scanned(rows.where(long), model, chunk))
+
+
+def _scanned(rows: DataFrame, model: str, chunk: int) -> DataFrame:
+    keyed = rows.select("doc_id", F.sha2("text", 256).alias("sha"), "text")
+    return keyed.select("doc_id", "sha").join(encode_long(keyed.select("sha", "text"), model, chunk), "sha").select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -424,6 +453,24 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.withColumn("decoded", decode_column(model)(F.col("ids")))
 
 
+def _both(model: str):
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = _pieces(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, _BATCH):
+                part = batch.slice(k, _BATCH)
+                ids = p.encode_all([p.normal(t) for t in part.column("text").to_pylist()])
+                back = [hashlib.sha256(p.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back)], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return both
+
+
 def encoded_and_back(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256`` of each row."""
-    return decode(encode(docs, model, chunk), model).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids, decoded_sha256`` of each row; texts of one chunk are encoded and decoded in one go."""
+    rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
+    long = F.char_length("text") > chunk
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    short = rows.where(~long).mapInArrow(_both(model), f"doc_id {id_type}, n_tokens bigint, ids array<int>, decoded_sha256 string")
+    back = decode(_scanned(rows.where(long), model, chunk), model)
+    return short.unionByName(back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")))
