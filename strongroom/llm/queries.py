@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strongroom.llm._common import documents
-from strongroom.llm import langid, licenses, merkle, mixing, mpeg, pii, sentencepiece_scan, toxicity
+from strongroom.llm import langid, licenses, merkle, mixing, mpeg, pii, quotes, sentencepiece_scan, toxicity
 from strongroom.llm.simhash import near_duplicates
 
 
@@ -18,6 +18,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encoded_and_back(documents(spark, sf_dir))
 
 
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quotes": op5_quotes,
     "op6_licenses": op6_licenses,
     "op7_mpeg": op7_mpeg,
     "op8_mixing": op8_mixing,
