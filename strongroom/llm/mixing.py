@@ -18,6 +18,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix for each word there is, and the most times that a source is used.
 SHARE, EPOCHS = 1.5, 2
 SEED = 17
+#: Up to so many sources their rows are broadcast; beyond, documents and sources are joined in SALTS parts of each source.
+BROADCAST_SOURCES, SALTS = 10_000, 64
 #: Hex digits of the hash that make a bucket.
 _BUCKET = 3
 
@@ -99,8 +101,9 @@ def plan(sizes: DataFrame, seed: int = SEED, **options) -> DataFrame:
 
 
 def _extra(size: Column, place: Column) -> Column:
-    """Words beyond the whole repetitions.  No cut, but something left over: the order ended, all count."""
-    return F.when(F.col("cut").isNull(), F.lit(0)).when(place < F.col("cut"), size).when(place == F.col("cut"), F.col("part")).otherwise(0).cast("long")
+    """Words beyond the whole repetitions; none if there is no cut."""
+    cut = F.col("__mix_cut")
+    return F.when(cut.isNull(), F.lit(0)).when(place < cut, size).when(place == cut, F.col("__mix_part")).otherwise(0).cast("long")
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -108,6 +111,19 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return checkpoint(narrow.withColumn("place", _place(F.col("doc_id"), F.col("size"), seed)))
 
 
+def _with_quota(rows: DataFrame, quotas: DataFrame) -> DataFrame:
+    """rows(source, ...) with their source's quota, as columns that begin with __mix_.
+
+    How many sources there are is checked: a broadcast leaves the rows where they are; else a hot source is salted.
+    """
+    quotas = checkpoint(quotas.select(*(F.col(c).alias(f"__mix_{c}") for c in quotas.columns)))
+    same = rows["source"].eqNullSafe(F.col("__mix_source"))
+    if quotas.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(quotas), same)
+    salted = quotas.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(salted, same & (F.pmod(F.xxhash64(rows["doc_id"]), F.lit(SALTS).cast("long")) == F.col("__mix_salt")))
+
+
 def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for each row of docs(doc_id, text, source).
 
@@ -115,10 +131,9 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     a null source is a source; repeated rows share what is taken evenly; an empty table gives an empty result.
     """
     sizes = sized(docs, seed)
-    quotas = plan(sizes, seed, **options).withColumnRenamed("source", "quota_source")
-    joined = sizes.join(quotas, F.col("source").eqNullSafe(F.col("quota_source")))
-    taken = F.col("whole") * F.col("size") + _extra(F.col("size"), F.col("place"))
-    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    joined = _with_quota(sizes, plan(sizes, seed, **options))
+    taken = F.col("__mix_whole") * F.col("size") + _extra(F.col("size"), F.col("place"))
+    return joined.select("doc_id", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), taken.alias("taken"))
 
 
 def repeat(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
@@ -126,14 +141,10 @@ def repeat(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 
     The last repetition of the document at a source's cut has its first words only, a space apart, and n_chars (where docs has it) of that text.
     """
-    quotas = plan(sized(docs, seed), seed, **options)
-    quotas = checkpoint(quotas.select(*(F.col(c).alias(f"__mix_{c}") for c in quotas.columns)))
     name = {n: fresh_name(docs, n) for n in ("size", "extra", "copy")}
-    out = docs.join(quotas, docs["source"].eqNullSafe(F.col("__mix_source"))).withColumn(name["size"], words(docs["text"]))
-    size, place = F.col(name["size"]), _place(docs["doc_id"], F.col(name["size"]), seed)
-    cut = F.col("__mix_cut")
-    extra = F.when(cut.isNull(), F.lit(0)).when(place < cut, size).when(place == cut, F.col("__mix_part")).otherwise(0).cast("long")
-    out = out.withColumn(name["extra"], extra)
+    out = _with_quota(docs, plan(sized(docs, seed), seed, **options)).withColumn(name["size"], words(docs["text"]))
+    size = F.col(name["size"])
+    out = out.withColumn(name["extra"], _extra(size, _place(docs["doc_id"], size, seed)))
     whole, extra = F.col("__mix_whole"), F.col(name["extra"])
     times = whole + (extra > 0).cast("long")
     out = out.withColumn(name["copy"], F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))))
