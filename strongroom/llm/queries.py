@@ -74,6 +74,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_merkle": merkle.ORACLE,
+    "op5_quotes": quotes.ORACLE,
     "op6_licenses": licenses.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }

@@ -142,3 +142,54 @@ def conversations(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "copy", "role", "body", F.size("passages").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         parent["turn"].alias("parent_turn"), parent["copy"].alias("parent_copy"), "position",
     )
+
+
+ORACLE = r"""
+with m as (
+  select conv_id, turn, role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id, turn order by role nulls first, coalesce(text, '')) - 1 as copy from conversations),
+l as (
+  select conv_id, turn, copy, role, unnest(regexp_split_to_array(text, '\r?\n')) as line, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) as i from m),
+v as (
+  select *, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g')) as level, regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '') as body from l),
+g as (
+  select *, i - row_number() over (partition by conv_id, turn, copy, level order by i) as run from v),
+r as (
+  select conv_id, turn, copy, any_value(role) as role, level, min(i) as i, string_agg(body, chr(10) order by i) as body, list(body order by i) as lines
+  from g group by conv_id, turn, copy, level, run),
+b as (
+  select conv_id, turn, copy, any_value(role) as role,
+    regexp_replace(coalesce(string_agg(trim(body, ' '), chr(10) order by i) filter (where level = 0), ''), '^\s+|\s+$', '', 'g') as body
+  from r group by conv_id, turn, copy),
+q as (
+  select conv_id, turn, copy, level, row_number() over (partition by conv_id, turn, copy order by i) - 1 as passage,
+    list_filter(list_prepend(body, lines), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) as texts
+  from r where level > 0 and regexp_matches(body, '[\p{L}\p{N}]')),
+a as (
+  select conv_id, turn, copy, level, passage, unnest(texts) as t, generate_subscripts(texts, 1) as choice from q),
+w as (
+  select conv_id, turn, copy, level, passage, choice, array_to_string(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), ' ') as unit from a),
+p as (
+  select conv_id, turn, copy, row_number() over (partition by conv_id order by turn nulls first, copy) - 1 as position from b),
+u as (
+  select distinct conv_id, turn, copy, array_to_string(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), ' ') as unit, whole
+  from (select conv_id, turn, copy, body as t, 1 as whole from b
+    union all select conv_id, turn, copy, unnest(string_split(body, chr(10))), 0 from b
+    union all select conv_id, turn, copy, unnest(regexp_split_to_array(body, '\n[ \t]*\n\s*')), 0 from b)),
+f as (
+  select w.conv_id, w.turn, w.copy, w.passage, w.level, w.choice, max_by(o.position, (u.whole, o.position)) as of
+  from w join p as me on me.conv_id = w.conv_id and me.turn is not distinct from w.turn and me.copy = w.copy
+  join u on u.conv_id = w.conv_id and u.unit = w.unit
+  join p as o on o.conv_id = u.conv_id and o.turn is not distinct from u.turn and o.copy = u.copy
+  where o.position < me.position group by all),
+c as (
+  select conv_id, turn, copy, passage, level, min_by(of, choice) as of from f group by all),
+k as (
+  select conv_id, turn, copy, count(*) as n_linked, min_by(of, (level, passage)) as of from c group by all)
+select b.conv_id, b.turn, b.copy, b.role, b.body,
+  (select count(*) from q where q.conv_id = b.conv_id and q.turn is not distinct from b.turn and q.copy = b.copy) as n_quotes,
+  coalesce(k.n_linked, 0) as n_linked, o.turn as parent_turn, o.copy as parent_copy, p.position
+from b join p on p.conv_id = b.conv_id and p.turn is not distinct from b.turn and p.copy = b.copy
+left join k on k.conv_id = b.conv_id and k.turn is not distinct from b.turn and k.copy = b.copy
+left join p as o on o.conv_id = b.conv_id and o.position = coalesce(k.of, p.position - 1)
+"""

@@ -79,5 +79,16 @@ def test_against_brute_force(spark, monkeypatch, width):
     assert sum(r[6] for r in want) > 40
 
 
+def test_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = threads(3, 60)
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841
+    want = sorted(duckdb.sql(Q.ORACLE).fetchall(), key=str)
+    got = sorted((tuple(r) for r in Q.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    assert got == want
+
+
 def test_empty(spark):
     assert Q.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
