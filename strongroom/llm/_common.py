@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; an input of fewer splits than there are cores is dealt out to all of them."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
