@@ -35,6 +35,8 @@ SHINGLE_WORDS = 3
 SEED = 42
 #: Fingerprints that the plan of the search is estimated on.
 SAMPLE = 20_000
+#: Ids of dropped documents that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Entries of a bucket that one task verifies at once.
 BLOCK = 2_048
 
@@ -252,6 +254,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
     return marked.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Checkpointed ids, to be broadcast if a count finds few enough; else joins shuffle the documents by id."""
+    ids = checkpoint(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component stays, the one with the least doc_id; the columns of docs.
 
@@ -260,10 +268,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     name = fresh_name(docs, "dropped")
     found = checkpoint(near_duplicates(docs, **options))
     per_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    drop = checkpoint(per_id.where("least < doc_id").select(F.col("doc_id").alias(name)))
-    again = checkpoint(per_id.where("least = doc_id and rows > 1").select(F.col("doc_id").alias(name)))
+    drop = _small(per_id.where("least < doc_id").select(F.col("doc_id").alias(name)))
+    again = _small(per_id.where("least = doc_id and rows > 1").select(F.col("doc_id").alias(name)))
     key = F.col("doc_id").cast("long")
-    once = docs.join(drop.unionByName(again), key == F.col(name), "left_anti")
+    once = docs.join(drop, key == F.col(name), "left_anti").join(again, key == F.col(name), "left_anti")
     first = Window.partitionBy("doc_id").orderBy("text")
     several = docs.join(again, key == F.col(name), "left_semi").withColumn(name, F.row_number().over(first)).where(F.col(name) == 1).drop(name)
     return once.unionByName(several)

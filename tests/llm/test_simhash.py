@@ -94,7 +94,9 @@ def test_plan_keeps_the_pigeonhole(seed):
             union |= mask
 
 
-def test_empty_null_and_repeated(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_empty_null_and_repeated(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "BROADCAST_IDS", most)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(empty).count() == 0
     rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (2, "a b c d", "y"), (None, "q r s t u v", "z"), (5, None, None)]
