@@ -1,25 +1,55 @@
-"""Running totals over a whole table without a window over all rows."""
+"""Orders over a whole table without a window over all rows: ranges of like size, and running totals over them."""
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+#: Ranges at least, and rows of a range about: the number of ranges grows with the table.
+RANGES, ROWS = 256, 200_000
+LEAST = -(2**63)
+
+
+def sort_key(column: str) -> Column:
+    """An integer column with null as the least value."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(LEAST))
+
+
+def split_points(df: DataFrame, key: Column, ranges: int | None = None) -> list[int]:
+    """Values of key, the least first, that each begin a range; none for an empty table.
+
+    They are approximate quantiles, one for about ``ROWS`` rows, so their number is bounded by the table's rows over that.
+    Which ones come out changes sizes only: a caller's result is the same for any.
+    """
+    ranges = ranges or max(RANGES, -(-df.count() // ROWS))
+    row = df.agg(F.min(key).alias("least"), F.percentile_approx(key, [k / ranges for k in range(1, ranges)], max(10_000, 4 * ranges)).alias("at")).first()
+    return [] if row["least"] is None else sorted({row["least"], *row["at"]})
+
+
+def points_column(points: list[int]) -> Column:
+    """The points as one literal array, however many."""
+    return F.split(F.lit(",".join(map(str, points or [0]))), ",").cast("array<bigint>")
+
+
+def range_number(points: list[int], key: Column) -> Column:
+    """How many points are at most key, in two steps of about the root of their number."""
+    width = isqrt(len(points)) + 1
+    block = F.size(F.filter(points_column(points[::width]), lambda p: p <= key))
+    inside = F.size(F.filter(F.slice(points_column(points), F.greatest(block - 1, F.lit(0)) * width + 1, width), lambda p: p <= key))
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + inside)
 
 
-def running_total(df: DataFrame, order: str, value: Column, name: str, then: list[str] | None = None, within: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
-    """Adds the sum of value over the rows before each row, by the integer column order, then by ``then``.
+def running_total(df: DataFrame, order: str, value: Column, name: str, then: list[str] | None = None, within: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Adds the sum of value over the rows before each row, by the integer column order (null first), then by ``then``.
 
-    The rows are dealt into ranges of order by approximate quantiles (any bounds give the same result); each range has
-    its own window, and the ranges' sums before it come from a table of at most ``ranges`` rows (for each of ``within``).
-    Null orders come first.
+    Each range has its own window, and the sums of the ranges before it come from a table of a row per range (and
+    value of ``within``).
     """
     within = within or []
-    key = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))
-    at = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10_000).alias("at")).first()["at"] or []
-    bounds = F.array(*map(F.lit, sorted(set(at)) or [0])).cast("array<bigint>")
-    dealt = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= key))).withColumn("__value", value)
+    points = split_points(df, sort_key(order), ranges)
+    dealt = df.withColumn("__range", range_number(points, sort_key(order))).withColumn("__value", value)
     along = Window.partitionBy(*within, "__range").orderBy(F.col(order).asc_nulls_first(), *(then or [])).rowsBetween(Window.unboundedPreceding, -1)
     inside = dealt.withColumn("__inside", F.coalesce(F.sum("__value").over(along), F.lit(0)))
     over = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strongroom.functions import keyed, layout, text
 from strongroom.operators.catalog_ops import active_slot, rename, unwrap_candidate, upsert
-from strongroom.operators.running import running_total
+from strongroom.operators.running import range_number, running_total
 from strongroom.streaming.ingest import EVENTS, fold_stream, folded, hourly
 
 
@@ -92,3 +92,16 @@ def test_streaming_fold_and_hours(spark, tmp_path):
     q = hourly(stream, "1 hour").writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, hourly(events).collect()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 50, 1000])
+def test_range_number(spark, n):
+    import bisect
+    import random
+
+    r = random.Random(n)
+    points = sorted(r.sample(range(-5000, 5000), n))
+    keys = [*range(-5005, 5005, 7), *points]
+    got = [x[0] for x in spark.createDataFrame([(k,) for k in keys], "k long").select(range_number(points, F.col("k"))).collect()]
+    if n:
+        assert got == [bisect.bisect_right(points, k) for k in keys]
