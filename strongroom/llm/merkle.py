@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strongroom.llm._common import fresh_name, whole_text
+from strongroom.operators.running import points_column, range_number, sort_key, split_points
 
 LEAF = r"[^.!?]{1,120}[.!?]*|[.!?]+"
 SECTION = r"\n[ \t]*\n\s*"
 #: Hex digits that stand for a node below the root.
 SHORT = 12
-#: Ranges that the documents are dealt into by doc_id.
-RANGES = 256
 
 
 def tree(text: Column) -> Column:
@@ -77,13 +76,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_fingerprint(rows, "text", "root", "leaves", "fingerprint").select("doc_id", "fingerprint")
 
 
-def _starts(docs: DataFrame, ranges: int) -> list[int]:
-    """Up to ``ranges`` ids, the least first, that part the rows into ranges of like size; each begins one."""
-    row = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id")).agg(F.min("id").alias("least"), F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 10_000).alias("at")).first()
-    return [] if row["least"] is None else sorted({row["least"], *row["at"]})
-
-
-def edited(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text, of its edit, and how like they and the next document's are.
 
     The edit replaces the last quarter (floor) of the text's code points by the first as many of the next document's, which is the
@@ -91,13 +84,14 @@ def edited(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     edited_fingerprint, near_edited, near_next``.  A null text counts as empty.  Only a range's first row is
     sent to two ranges, so each row finds the next one inside a window over its range.
     """
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), whole_text("text").alias("text"))
-    starts = _starts(docs, ranges)
-    bounds = F.array(*map(F.lit, starts or [0])).cast("array<bigint>")
-    own = F.size(F.filter(bounds, lambda b: b <= F.col("id")))
-    at = F.array_position(bounds, F.col("id")).cast("int")
-    before = F.when(at == 1, F.lit(len(starts))).when(at > 1, at - 1)
-    homes = F.when(before.isNull(), F.array(F.struct(own.alias("home"), F.lit(0).alias("late")))).otherwise(F.array(F.struct(own.alias("home"), F.lit(0).alias("late")), F.struct(before.alias("home"), F.lit(1).alias("late"))))
+    rows = docs.select("doc_id", sort_key("doc_id").alias("id"), whole_text("text").alias("text"))
+    starts = split_points(docs.select("doc_id"), sort_key("doc_id"), ranges)
+    own = F.greatest(range_number(starts, F.col("id")), F.lit(1))
+    before = F.when(own == 1, F.lit(len(starts))).otherwise(own - 1)
+    home = F.struct(own.alias("home"), F.lit(0).alias("late"))
+    # A range's first rows are also the last of the range before, marked late.
+    first = F.element_at(points_column(starts), own) == F.col("id")
+    homes = F.when(first, F.array(home, F.struct(before.alias("home"), F.lit(1).alias("late")))).otherwise(F.array(home))
     hashed = with_fingerprint(rows, "text", "root", "leaves", "fingerprint")
     dealt = hashed.withColumn("h", F.explode(homes)).select("h.*", "doc_id", "id", "text", "root", "leaves", "fingerprint")
     along = Window.partitionBy("home").orderBy("late", "id", "text")
