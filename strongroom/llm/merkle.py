@@ -92,17 +92,18 @@ def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     # A range's first rows are also the last of the range before, marked late.
     first = F.element_at(points_column(starts), own) == F.col("id")
     homes = F.when(first, F.array(home, F.struct(before.alias("home"), F.lit(1).alias("late")))).otherwise(F.array(home))
-    hashed = with_fingerprint(rows, "text", "root", "leaves", "fingerprint")
-    dealt = hashed.withColumn("h", F.explode(homes)).select("h.*", "doc_id", "id", "text", "root", "leaves", "fingerprint")
+    # Only texts are shuffled: hashing again is cheaper than moving hashes, which don't compress.
+    dealt = rows.withColumn("h", F.explode(homes)).select("h.*", "doc_id", "id", "text")
     along = Window.partitionBy("home").orderBy("late", "id", "text")
-    following = dealt.withColumn("next", F.lead(F.struct("text", "root", "leaves")).over(along)).where("late = 0")
+    out = dealt.withColumn("next", F.lead("text").over(along)).where("late = 0")
     n = F.char_length("text")
     k = F.floor(n / 4).cast("int")
-    out = following.withColumn("edit", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next.text"), F.lit(1), k)))
-    out = out.select("doc_id", n.cast("long").alias("n_chars"), "edit", "root", "leaves", "fingerprint", F.col("next.root").alias("next_root"), F.col("next.leaves").alias("next_leaves"))
-    out = with_fingerprint(out, "edit", "edit_root", "edit_leaves", "edited_fingerprint")
-    near = lambda root, leaves: F.when(F.col("root") == F.col(root), F.lit(1.0)).otherwise(_dice(F.col("leaves"), F.col(leaves)))
-    return out.select("doc_id", "n_chars", F.sha2("edit", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edit_root", "edit_leaves").alias("near_edited"), near("next_root", "next_leaves").alias("near_next"))
+    edit = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k))
+    out = out.select("doc_id", n.cast("long").alias("n_chars"), "text", "next", edit.alias("edit"))
+    for column in ("text", "edit", "next"):
+        out = with_fingerprint(out, column, f"{column}_root", f"{column}_leaves", f"{column}_fingerprint")
+    near = lambda other: F.when(F.col("text_root") == F.col(f"{other}_root"), F.lit(1.0)).otherwise(_dice(F.col("text_leaves"), F.col(f"{other}_leaves")))
+    return out.select("doc_id", "n_chars", F.sha2("edit", 256).alias("edited_sha256"), F.col("text_fingerprint").alias("fingerprint"), F.col("edit_fingerprint").alias("edited_fingerprint"), near("edit").alias("near_edited"), near("next").alias("near_next"))
 
 
 ORACLE = r"""
