@@ -17,12 +17,12 @@ def _fingerprint(edges: DataFrame) -> tuple[int, int]:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u is linked to the least of u and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    )
+    """Every larger neighbour of a node is linked to the least of the node and its neighbours.
+
+    The least neighbours are checkpointed, so that both sides of the join are plain shuffles and a hub's rows can be split.
+    """
+    least = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))
+    return edges.join(least, edges["v"] == least["w"], "left").select("u", F.coalesce("m", "v").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
