@@ -26,8 +26,8 @@ from strongroom.llm._minimise import minimise
 BITS = 18
 #: Labelled documents of each class that the model is fitted on, at most.
 FIT_ROWS = 2_000
-#: n-grams that the model keeps, those with the greatest chi-squared.
-KEPT = 4_096
+#: n-grams that the model keeps: those with the greatest chi-squared, down to CHI (but LEAST in any case), KEPT at most.
+KEPT, LEAST, CHI = 4_096, 256, 16.0
 THRESHOLD = 0.7
 _STEP = 1 << 20
 
@@ -91,7 +91,7 @@ def _prior(toxic: float, clean: float, buckets: int = 1 << BITS) -> Model:
     return Model(np.zeros(buckets, np.int32), np.zeros(1), float(np.log((toxic + 1) / (clean + 1))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, kept: int = KEPT, penalty: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, kept: int = KEPT, penalty: float = 1e-4) -> Model:
     """Learn from ``labels(doc_id, toxic)`` and ``docs(doc_id, text)``.
 
     Rows without doc_id or with a label other than 0 and 1 don't count; a document labelled both ways is
@@ -117,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, kept: int
     ratio = np.log((a + 1) / (a + 1).sum()) - np.log((b + 1) / (b + 1).sum())
     n, held = na + nb, a + b
     chi = (a * (nb - b) - b * (na - a)) ** 2 * n / np.maximum(1e-9, na * nb * held * (n - held) + 1e-9)
-    best = np.sort(np.lexsort((counts["bucket"].to_numpy(), -np.where(held >= 2, chi, 0)))[:kept])
+    chi = np.where(held >= 2, chi, 0)
+    best = np.sort(np.lexsort((counts["bucket"].to_numpy(), -chi))[: min(kept, max(LEAST, int((chi >= CHI).sum())))])
     slot = np.full(1 << BITS, len(best), np.int32)
     slot[counts["bucket"].to_numpy()[best]] = np.arange(len(best), dtype=np.int32)
     ratio = ratio[best]
