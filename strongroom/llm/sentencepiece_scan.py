@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
 MARK = "▁"
 #: Words that are kept; as many from before are kept until they are needed again.
-_CACHE = 1 << 17
+_CACHE = 1 << 16
 #: Texts that are encoded together.
 _BATCH = 128
 #: The place of an unknown character and of a text's start among pieces.
@@ -319,7 +319,7 @@ class _Words(dict):
         if len(self) > _CACHE:
             self.old = dict(self)
             self.clear()
-        if self.pieces.pairs_known > 4 * _CACHE:
+        if self.pieces.pairs_known > 6 * _CACHE:
             self.pieces.pairs.clear()
             self.pieces.pairs_known = 0
 
