@@ -1,6 +1,6 @@
 """License scans: texts against license templates by Dice coefficient over word bigrams, with DataFrame functions only.
 
-A text is compared as a whole and line by line.  Normalised words are lower-case runs of the letters a-z and digits; a unit
+A text is compared as a whole, line by line, and by runs of neighbouring lines, for notices that are wrapped.  Normalised words are lower-case runs of the letters a-z and digits; a unit
 is the bag of its neighbouring pairs of words (a lone word stands for itself).  For Dice of at least t, bags of m and n pairs
 need n between m t / (2 - t) and m (2 - t) / t, so a template is only compared with units whose size lies inside its bounds: an equal
 join on size.  Also the shared pairs are t / (2 - t) of the unit's own at least, so a unit with fewer words from any template is
@@ -75,16 +75,50 @@ def _prepared(templates: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     return bags, sizes, sorted({w for r in rows for w in r["w"]}), row[0] or 0, row[1] or 0
 
 
+def _runs(lines: Column, least: int, most: int, known: list[str], share: float) -> Column:
+    """Runs of two or more of the lines (line, w; none without words) that the prunings leave, as first, last, w."""
+    # Of a line beyond the greatest size, which is in no run, the words are not looked at.
+    counts = F.transform(lines, lambda s: F.struct(F.size(s["w"]).alias("n"), F.when(F.size(s["w"]) <= most + 1, F.size(F.filter(s["w"], lambda x: x.isin(known)))).otherwise(0).alias("k")))
+
+    def longer(run: Column, c: Column) -> Column:
+        n, k, count = run["n"] + c["n"], run["k"] + c["k"], run["count"] + 1
+        fits = (n - 1).between(least, most) & (k >= (n - 1) * share - 1e-9)
+        ends = F.when(fits, F.concat(run["ends"], F.array(count))).otherwise(run["ends"])
+        return F.when(run["n"] > most + 1, run).otherwise(F.struct(n.alias("n"), k.alias("k"), count.alias("count"), ends.alias("ends")))
+
+    def from_line(c: Column, i: Column) -> Column:
+        # Each line has a word, so most lines beyond the first suffice.
+        start = F.struct(c["n"].alias("n"), c["k"].alias("k"), F.lit(1).alias("count"), F.array().cast("array<int>").alias("ends"))
+        lengths = F.aggregate(F.slice(counts, i + 2, F.lit(most)), start, longer, lambda run: run["ends"])
+        run = lambda n: F.slice(lines, i + 1, n)
+        return F.transform(
+            F.when(c["n"] <= most, lengths).otherwise(F.array().cast("array<int>")),
+            lambda n: F.struct(F.get(lines, i)["line"].alias("first"), F.get(lines, i + n - 1)["line"].alias("last"), F.flatten(F.transform(run(n), lambda s: s["w"])).alias("w")),
+        )
+
+    return F.flatten(F.transform(counts, from_line))
+
+
+def _chosen(found: Column) -> Column:
+    """Of one text's units that are like one template: lines and the whole text all, runs only where no unit before overlaps."""
+    free = lambda kept, u: ~F.exists(kept, lambda x: (x["first"] <= u["last"]) & (u["first"] <= x["last"]))
+    none = F.filter(found, lambda u: F.lit(False))
+    return F.aggregate(F.array_sort(found), none, lambda kept, u: F.when(~u["run"] | free(kept, u), F.concat(kept, F.array(u))).otherwise(kept))
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, line, license, template, dice`` for each line, or whole text (line 0), that is like a template.
+    """``doc_id, line, license, template, dice`` for each line, run of lines, or whole text (line 0), that is like a template.
 
-    Lines count from 1; a text of one line is compared once, as line 1.  Null and empty texts and lines without
+    Lines count from 1; a text of one line is compared once, as line 1.  A run goes by its first line.  Of runs that overlap
+    only the likest to a template counts (then the shortest, then the first), and none that overlaps a line, or lies in a whole text,
+    that is like the template by itself.  Null and empty texts and lines without
     words match nothing; repeated rows match repeatedly; without templates nothing matches.
     """
     templates = template_table(docs.sparkSession) if templates is None else templates
     bags, sizes, known, least, most = _prepared(templates, threshold)
     share = threshold / (2 - threshold)
-    rows = docs.select("doc_id", F.transform(F.split(whole_text("text"), "\n"), words).alias("by_line"))
+    text = whole_text("text")
+    rows = docs.select("doc_id", text.alias("text"), F.transform(F.split(text, "\n"), words).alias("by_line"))
     units = F.concat(F.array(F.when(F.size("by_line") > 1, F.flatten("by_line")).otherwise(F.array().cast("array<string>"))), F.col("by_line"))
 
     def alike(w: Column) -> Column:
@@ -92,11 +126,24 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
         # Shared pairs begin with as many shared words.
         return size.between(least, most) & (F.size(F.filter(w, lambda x: x.isin(known))) >= size * share - 1e-9)
 
-    numbered = F.transform(units, lambda w, i: F.when((F.size(w) > 0) & alike(w), F.struct(i.alias("line"), w.alias("w"))))
-    kept = rows.select("doc_id", F.explode(F.filter(numbered, lambda u: u.isNotNull())).alias("u")).select("doc_id", "u.line", pairs(F.col("u.w")).alias("own"))
+    def unit(first: Column, last: Column, run: bool, w: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), F.lit(run).alias("run"), w.alias("w"))
+
+    numbered = F.transform(units, lambda w, i: F.when((F.size(w) > 0) & alike(w), unit(i, F.when(i == 0, F.lit(2**31 - 1)).otherwise(i), False, w)))
+    rows = rows.withColumn("lines", F.filter(F.transform("by_line", lambda w, i: F.struct((i + 1).alias("line"), w.alias("w"))), lambda s: F.size(s["w"]) > 0))
+    runs = F.transform(_runs(F.col("lines"), least, most, known, share), lambda u: unit(u["first"], u["last"], True, u["w"]))
+    kept = rows.select("doc_id", "text", F.explode(F.concat(F.filter(numbered, lambda u: u.isNotNull()), runs)).alias("u"))
+    kept = kept.select("doc_id", F.sha2("text", 256).alias("text_id"), "u.first", "u.last", "u.run", pairs(F.col("u.w")).alias("own"))
     joined = kept.withColumn("size", F.size("own")).join(sizes, "size").join(bags, "id")
     dice = F.lit(2.0) * F.size(F.array_intersect("own", "bag")) / (F.col("size") + F.size("bag"))
-    return joined.select("doc_id", "line", "license", "template", dice.alias("dice")).where(F.col("dice") >= threshold)
+    alike_units = joined.select("doc_id", "text_id", "license", "template", "run", "first", "last", dice.alias("dice")).where(F.col("dice") >= threshold)
+    # Repeated rows find the same units; they are counted, and dealt out again.
+    of_text = ["doc_id", "text_id", "license", "template"]
+    counted = alike_units.groupBy(*of_text, "run", "first", "last", "dice").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    found = counted.groupBy(*of_text).agg(F.collect_list(F.struct("run", (-F.col("dice")).alias("unlike"), (F.col("last") - F.col("first")).alias("more"), "first", "last", "dice", "rows")).alias("found"))
+    each = found.select("doc_id", "license", "template", F.explode(_chosen(F.col("found"))).alias("u"))
+    each = each.select("doc_id", F.col("u.first").alias("line"), "license", "template", F.col("u.dice").alias("dice"), F.explode(F.array_repeat(F.lit(0), F.col("u.rows"))))
+    return each.select("doc_id", "line", "license", "template", "dice")
 
 
 def _quoted(text: str) -> str:

@@ -67,3 +67,26 @@ def test_against_sql(spark):
     want = sorted(duckdb.sql(L.ORACLE).fetchall(), key=str)
     docs = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string")
     assert sorted((tuple(r) for r in L.scan(docs).collect()), key=str) == want
+
+
+def test_wrapped_notices_inside_a_text(spark):
+    """Each long template in lines of 9 words with comment marks, amid other lines; twice in one text; repeated rows."""
+    prose = [f"line {k} tells of other matters, with words like {k * 7} and {k * 11} in it" for k in range(40)]
+    long = [(a, b) for a, b in L.TEMPLATES if len(b.split()) > 20]
+
+    def wrapped(template):
+        w = template.split()
+        return [" * " + " ".join(w[k : k + 9]) for k in range(0, len(w), 9)]
+
+    rows = [(i, "\n".join([*prose[:20], " *", *wrapped(b), "", *prose[20:]])) for i, (a, b) in enumerate(long)]
+    mit, isc = long[2][1], next(b for a, b in long if a == "ISC")
+    cut = wrapped(mit)
+    cut[3:3] = [" *", " * page two"]
+    rows += [(50, "\n".join([*prose, *wrapped(isc), *wrapped(isc)])), (51, "\n".join([*prose, *cut, *prose])), (0, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(L.scan(docs).collect(), key=str)
+    want = [(i, 22, a, b) for i, (a, b) in enumerate(long)] + [(0, 22, *long[0]), (50, 41, "ISC", isc), (50, 41 + len(wrapped(isc)), "ISC", isc), (51, 41, *long[2])]
+    kinds = {b for a, b in long}
+    assert len(long) >= 6
+    assert sorted(tuple(r)[:4] for r in got if r.template in kinds) == sorted(want)
+    assert all(r.dice == 1.0 for r in got if r.template in kinds and r.doc_id != 51)
