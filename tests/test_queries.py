@@ -48,3 +48,19 @@ def test_hmac512(spark):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() == 200
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_contents_of_all_chunks_come_back(spark, tmp_path):
+    chunk = 65_536
+    texts = ["", "a", "b" * chunk, "c" * chunk + "d", "é€x" * 40_000, "e" * 3 * chunk]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    name, want = "q_h13_seal_roundtrip_all", []
+    for i, t in enumerate(texts):
+        b = t.encode()
+        want += [(i, k // chunk, hashlib.sha256(b[k : k + chunk]).hexdigest(), len(b[k : k + chunk]) + catalog.OVERHEAD) for k in range(0, len(b), chunk)]
+    got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).select("ordinal", "idx", "sha", "sealed_len").collect())
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == want and sorted(con.sql(f"select ordinal, idx, sha, sealed_len from ({catalog.ORACLES[name]})").fetchall()) == want
+    assert max(idx for _, idx, _, _ in got) == 3
