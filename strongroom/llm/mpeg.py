@@ -176,15 +176,12 @@ def read(data: bytes | None) -> Stream:
     at = _id3v2(data, s.tags)
     end = len(data)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
-            if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
-                s.tags.setdefault(key, value)
+        end -= 128  # an ID3v1 tag, unless a frame in step with the others ends just where the data does
     first = True
     synced = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        fits = h is not None and at + h.length <= end
+        fits = h is not None and (at + h.length <= end or at + h.length == len(data) and (synced or not s.skipped))
         if fits and not synced and s.layer and (h.layer, h.version) != (s.layer, s.version):
             fits = False
         if fits and not synced and at + h.length + 4 <= end and header(data[at + h.length : at + h.length + 4]) is None:
@@ -213,6 +210,10 @@ def read(data: bytes | None) -> Stream:
         s.lengths.append(h.length)
         at += h.length
     s.skipped += max(0, end - at)
+    if at <= end < len(data):
+        for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
+            if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
+                s.tags.setdefault(key, value)
     return s
 
 

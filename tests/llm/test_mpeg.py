@@ -77,3 +77,16 @@ def test_query_columns(spark):
         assert r.tail_crc32 == zlib.crc32(p[-32:]) and r.media_bytes == len(media) and r.media_sha256 == hashlib.sha256(media).hexdigest()
         assert len(r.seek_offsets) == len(p) // 576 and f"frames={len(p) // 576} " in r.feature
     assert M.stored_and_read(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+@pytest.mark.parametrize("length", [524, 560, 576])
+def test_text_that_looks_like_a_tag_stays(blocks, length):
+    content = (b"u" * 576 * (blocks - 1) + b"v" * 521 + b"TAG").ljust(576 * (blocks - 1) + length, b"w")
+    data = M.pack(content)
+    assert data[-128:-125] == b"TAG"
+    s = M.read(data)
+    assert M.unpack(data) == content and M.payload(data) == M.padded(content)
+    assert (s.frames, s.skipped, s.samples) == (blocks, 0, 1152 * blocks) and "title" not in s.tags
+    s = M.read(data + b"TAG" + b"Title".ljust(125, b"\0"))
+    assert (s.frames, s.skipped, s.tags["title"]) == (blocks, 0, "Title")
