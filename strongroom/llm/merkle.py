@@ -5,6 +5,9 @@ code points that end after ``. ! ?`` or where the run is full; they lose nothing
 by SHA-256, a paragraph by the hashes of its leaves, a section by those of its paragraphs, the root by those of the
 sections.  The fingerprint is written ``root:section(paragraph(leaf leaf)paragraph(leaf))section(...)``, the root in full, other
 nodes by their first 12 hex digits; so roots test equality and branches that differ locate edits.
+
+Of the separators of sections (blank lines, and the indent after them) the tree has nothing, so texts that differ in them only
+have equal roots.  With ``whole`` each is a paragraph of one leaf, the first of the section that it leads to, and the tree loses nothing of the text.
 """
 
 from __future__ import annotations
@@ -21,20 +24,23 @@ SECTION = r"\n[ \t]*\n\s*"
 SHORT = 12
 
 
-def tree(text: Column) -> Column:
+def tree(text: Column, whole: bool = False) -> Column:
     """Leaf hashes by section and paragraph: array<array<array<string>>>."""
-    return F.transform(
-        F.split(text, SECTION),
-        lambda s: F.transform(F.split(s, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.sha2(x, 256))),
-    )
+    paragraphs = lambda s: F.transform(F.split(s, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.sha2(x, 256)))
+    found = F.transform(F.split(text, SECTION), paragraphs)
+    if not whole:
+        return found
+    before = F.transform(F.regexp_extract_all(text, F.lit(SECTION), F.lit(0)), lambda s: F.array(F.array(F.sha2(s, 256))))
+    none = F.array().cast("array<array<string>>")
+    return F.zip_with(F.concat(F.array(none), before), found, lambda separator, section: F.concat(separator, section))
 
 
-def with_fingerprint(df: DataFrame, text: str, root: str, leaves: str, fingerprint: str) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, root: str, leaves: str, fingerprint: str, whole: bool = False) -> DataFrame:
     """Adds the root, the distinct short leaf hashes and the fingerprint of a column without nulls."""
     t, n = fresh_name(df, "tree"), fresh_name(df, "nodes")
     short = lambda h: F.substring(h, 1, SHORT)
     hashed = lambda a: F.sha2(F.array_join(a, ""), 256)
-    df = df.withColumn(t, tree(F.col(text)))
+    df = df.withColumn(t, tree(F.col(text), whole))
     # A section as its paragraphs' hashes, its own hash and its writing.
     paragraph = lambda p: F.struct(hashed(p).alias("h"), F.concat(F.lit("("), F.array_join(F.transform(p, short), " "), F.lit(")")).alias("w"))
     df = df.withColumn(n, F.transform(t, lambda s: F.transform(s, paragraph)))
@@ -70,13 +76,13 @@ def changed_sections(a: Column, b: Column) -> Column:
     return F.filter(F.transform(own, lambda h, i: F.when(~F.array_contains(nodes(b), h), i)), lambda i: i.isNotNull())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``doc_id, fingerprint`` of each row; a null text counts as empty, equal texts have equal fingerprints."""
     rows = docs.select("doc_id", whole_text("text").alias("text"))
-    return with_fingerprint(rows, "text", "root", "leaves", "fingerprint").select("doc_id", "fingerprint")
+    return with_fingerprint(rows, "text", "root", "leaves", "fingerprint", whole).select("doc_id", "fingerprint")
 
 
-def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def edited(docs: DataFrame, ranges: int | None = None, whole: bool = False) -> DataFrame:
     """Fingerprints of each text, of its edit, and how like they and the next document's are.
 
     The edit replaces the last quarter (floor) of the text's code points by the first as many of the next document's, which is the
@@ -101,7 +107,7 @@ def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     edit = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k))
     out = out.select("doc_id", n.cast("long").alias("n_chars"), "text", "next", edit.alias("edit"))
     for column in ("text", "edit", "next"):
-        out = with_fingerprint(out, column, f"{column}_root", f"{column}_leaves", f"{column}_fingerprint")
+        out = with_fingerprint(out, column, f"{column}_root", f"{column}_leaves", f"{column}_fingerprint", whole)
     near = lambda other: F.when(F.col("text_root") == F.col(f"{other}_root"), F.lit(1.0)).otherwise(_dice(F.col("text_leaves"), F.col(f"{other}_leaves")))
     return out.select("doc_id", "n_chars", F.sha2("edit", 256).alias("edited_sha256"), F.col("text_fingerprint").alias("fingerprint"), F.col("edit_fingerprint").alias("edited_fingerprint"), near("edit").alias("near_edited"), near("next").alias("near_next"))
 

@@ -45,6 +45,10 @@ def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited(documents(spark, sf_dir))
 
 
+def op1_merkle_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited(documents(spark, sf_dir), whole=True)
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(toxicity.crc_of("doc_id", 5) != 0))
@@ -61,6 +65,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_merkle": op1_merkle,
+    "op1_merkle_whole": op1_merkle_whole,
     "op2_langid": op2_langid,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,

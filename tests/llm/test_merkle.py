@@ -62,3 +62,28 @@ def test_one_row_and_none(spark):
     one = spark.createDataFrame([(1, "ab. cdef")], "doc_id long, text string")
     assert [(r.near_next, r.edited_sha256) for r in M.edited(one).collect()] == [(1.0, h("ab. cdab"))]
     assert M.edited(one.limit(0)).count() == 0 and M.fingerprints(one).first().fingerprint == plain("ab. cdef")[0]
+
+
+def plain_whole(text):
+    parts = re.split(r"(\n[ \t]*\n\s*)", text)
+    nodes, written = [], ""
+    for separator, s in zip([None, *parts[1::2]], parts[::2], strict=True):
+        trees = [re.findall(r"[^.!?]{1,120}[.!?]*|[.!?]+", p) for p in s.split("\n")]
+        trees = trees if separator is None else [[separator], *trees]
+        hs = [h("".join(map(h, t))) for t in trees]
+        nodes.append(h("".join(hs)))
+        written += f"{nodes[-1][:12]}({''.join(f'{x[:12]}({chr(32).join(h(y)[:12] for y in t)})' for x, t in zip(hs, trees, strict=True))})"
+    return f"{h(''.join(nodes))}:{written}"
+
+
+def test_whole_tree_holds_blank_lines_and_indents(spark):
+    texts = ["a\n\nb", "a\n\n\n\nb", "a\n\n b", "a\n \nb", "a\n\nb\n\n", "\n\na\n\nb", "a\nb", "a\n\n\tb", *(t for t in TEXTS if t and "..." not in t and not t.startswith("One. Two! Three"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in M.fingerprints(docs, whole=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_whole(t) for t in texts]
+    assert len({f[:64] for f in got.values()}) == len(texts)
+    # Without blank lines nothing changes; the one row's edit has them.
+    rows = M.edited(docs.where("doc_id = 6"), whole=True).collect()
+    assert rows == M.edited(docs.where("doc_id = 6")).collect() and rows[0].fingerprint == got[6]
+    both = M.edited(docs.where("doc_id < 2"), whole=True).collect()
+    assert {r.doc_id: r.fingerprint for r in both} == {0: got[0], 1: got[1]} and all(r.near_next < 1 for r in both)
