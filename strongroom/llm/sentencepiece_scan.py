@@ -5,10 +5,12 @@ models a path is allowed if each two neighbours are what the merges make of thei
 exactly one path, the library's own result.  Either way a path is known from its last piece on, so a chunk of
 text maps the piece over its left edge to the piece over its right edge: a max-plus matrix.
 
-Texts of at most ``chunk`` code points are one chunk.  Longer ones are cut into chunks that become rows: each row yields
-its matrix, the matrices of a text are combined in order into the pieces over its edges, and every chunk
-is then backtraced on its own between these.  No piece has a space mark after another character, so
-paths meet before each word; between such cuts a chunk is encoded word by word, with a cache.
+Texts of at most ``chunk`` code points are one chunk.  Longer ones are cut into chunks that become rows.  Each row yields
+its matrix; runs of ``fan`` matrices are combined into one, these runs likewise, until a text has one matrix left, so no task
+sees more than ``fan`` of a text's matrices.  Its best entry fixes the pieces over the outer edges, and level by level back down
+each run fixes those between its own, the rows of a level independently.  Then every chunk is backtraced on its own.
+No piece has a space mark after another character, so paths meet before each word; between such cuts a chunk is encoded
+word by word: words are found in the bytes by numpy, told apart by Arrow, and the lattices of all new words go forward together.
 
 Decoding joins the pieces' bytes.  Texts come back as they were, but for U+2581, which reads as a space.
 """
@@ -24,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,18 +34,64 @@ from pyspark.sql import types as T
 from strongroom.llm._common import checkpoint, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 16
+CHUNK = 1 << 14
+#: Matrices of one text that are combined in one task.
+FAN = 64
 MARK = "▁"
-#: Words that are kept; as many from before are kept until they are needed again.
-_CACHE = 1 << 16
-#: Texts that are encoded together.
-_BATCH = 128
+#: Words that are kept between batches, and neighbours whose joining is known, about.
+_CACHE, _PAIRS = 1 << 19, 1 << 19
+#: Bytes of text that are encoded together, about.
+_BATCH = 1 << 22
+#: Words of more bytes go through the lattice one by one; others so many together.
+_WIDE, _TOGETHER = 48, 1 << 14
 #: The place of an unknown character and of a text's start among pieces.
 _UNKNOWN, _START = -1, -2
 
 State = tuple[int, int]
 
 
+class Numbers:
+    """A map from numbers (not negative) to numbers, looked up and filled by whole arrays."""
+
+    def __init__(self, room: int = 1 << 10):
+        self._clear(room)
+
+    def _clear(self, room: int) -> None:
+        self.bits = max(4, (room - 1).bit_length())
+        self.keys, self.values, self.size = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; -1 where there is none."""
+        at = self._slots(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while len(rest):
+            at[rest] = at[rest] + 1 & (1 << self.bits) - 1
+            found, own = self.keys[at[rest]], keys[rest]
+            out[rest] = np.where(found == own, self.values[at[rest]], -1)
+            rest = rest[(found != own) & (found >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not in yet."""
+        if 2 * (self.size + len(keys)) > 1 << self.bits:
+            old = self.keys >= 0
+            keys, values = np.concatenate((self.keys[old], keys)), np.concatenate((self.values[old], values))
+            self._clear(4 * len(keys))
+        self.size += len(keys)
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several keys for a slot one stays
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], at[~mine] + 1 & (1 << self.bits) - 1
+
+
 class Pieces:
     """A model's vocabulary and the lattice over its pieces."""
 
@@ -56,6 +105,7 @@ class Pieces:
         if any(MARK in s.lstrip(MARK) for s in strings):
             raise ValueError("pieces with a space mark inside are not supported")
         line = "" if "\n" in self.starts else "\n"
+        self.lines = bool(line)
         self.segments = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}" if line else ""))
         #: Pieces by their characters from the last to the first: character -> (piece or -1, the next characters).
         self.endings: dict[str, tuple] = {}
@@ -67,14 +117,20 @@ class Pieces:
             entry[0] = i
         self.pairs: dict[int, dict[int, bool]] = {}
         self.pairs_known = 0
+        self.together = _Together(self) if bpe else None
         self.words = _Words(self)
+        self.surfaces = pa.array(surface, pa.binary())
 
     @classmethod
     def load(cls, path: str) -> Pieces:
+        with open(path, "rb") as file:
+            return cls.read(file.read())
+
+    @classmethod
+    def read(cls, content: bytes) -> Pieces:
         from sentencepiece import sentencepiece_model_pb2
 
-        with open(path, "rb") as file:
-            return cls.parse(sentencepiece_model_pb2.ModelProto.FromString(file.read()))
+        return cls.parse(sentencepiece_model_pb2.ModelProto.FromString(content))
 
     @classmethod
     def parse(cls, model) -> Pieces:
@@ -107,6 +163,9 @@ class Pieces:
         """Whether BPE leaves the pieces a and b apart, each whole; a may be the start or an unknown character."""
         if not self.bpe or b == _UNKNOWN:
             return True
+        if self.pairs_known > _PAIRS:
+            self.pairs.clear()
+            self.pairs_known = 0
         known = self.pairs.setdefault(a, {})  # the start and unknown characters have no name
         if b not in known:
             self.pairs_known += 1
@@ -193,7 +252,7 @@ class Pieces:
 
         From a cut, each end has one allowed last piece, whatever follows; so a word takes over what it shares with the one before.
         """
-        endings, pairs = self.endings, self.pairs
+        endings = self.endings
         last, begin, before = [_START], [0], ""
         for word in words:
             n, k, most = len(word), 0, min(len(word), len(before))
@@ -208,10 +267,7 @@ class Pieces:
                         found.append((at, i))
                     at -= 1
                 for at, i in reversed(found):
-                    known = pairs.get(a := last[at])
-                    if known is None or (ok := known.get(i)) is None:
-                        ok = self.joined(a, i)
-                    if ok:
+                    if self.joined(last[at], i):
                         last.append(i)
                         begin.append(at)
                         break
@@ -233,14 +289,38 @@ class Pieces:
     # --- texts and chunks
 
     def encode(self, normal: str) -> list[int]:
-        return self.encode_all([normal])[0]
-
-    def encode_all(self, normals: list[str]) -> list[list[int]]:
-        """The ids of each text, word by word; words that aren't known yet are found together."""
-        self.words.trim()
-        parts = [self.segments.findall(t) for t in normals]
-        self.words.learn({w for p in parts for w in p if w not in self.words})
-        return [list(chain.from_iterable(map(self.words.__getitem__, p))) for p in parts]
+        return self.encode_texts(pa.array([normal]), False)[1].tolist()
+
+    def encode_texts(self, texts: pa.Array, prefix: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and all ids in a row.  The texts are strings without nulls, of a few megabytes together."""
+        if pc.any(pc.match_substring(texts, MARK)).as_py():
+            texts = pc.replace_substring(texts, MARK, " ")
+        if prefix and self.prefix:
+            texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+        texts = texts.cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        if not len(data):
+            return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
+        # Words begin where marks follow another character, and around line ends.
+        space = data == 32
+        begins = np.zeros(len(data), bool)
+        begins[1:] = space[1:] & ~space[:-1]
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        if self.lines:
+            line = data == 10
+            begins |= line
+            begins[1:] |= line[:-1]
+        at = np.flatnonzero(begins)
+        cut = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        first, count, flat = self.words.find(cut.dictionary)
+        codes = cut.indices.to_numpy()
+        each = count[codes]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        ids = flat[np.repeat(first[codes] - upto[:-1], each) + np.arange(upto[-1])]
+        return np.diff(upto[np.searchsorted(at, bounds)]), ids
 
     def states(self, text: str, edge: int) -> list[State]:
         """The pieces that may lie over the character before the edge; the start of a text is one of its own."""
@@ -269,7 +349,7 @@ class Pieces:
         if cut := self.cuts(text, left, right):
             tail = ends(self.forward(text, (cut[1], cut[1]), right))
             if not self.bpe:
-                tail = tail + sum(self.words.total(w) for w in self.segments.findall(text[cut[0] : cut[1]]))
+                tail = tail + sum(self.word(w)[1] for w in self.segments.findall(text[cut[0] : cut[1]]))
             for i, row in enumerate(rows):
                 best = self.forward(text, row, cut[0])
                 if cut[0] in best:
@@ -295,33 +375,185 @@ class Pieces:
         return self.back(text, self.forward(text, state, right), state, goal)
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return self.decode_texts(np.array([len(ids)]), np.asarray(ids, np.int64))[0]
 
+    def decode_texts(self, counts: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The text of each run of so many ids."""
+        joined = self.surfaces.take(pa.array(ids, pa.int64())).cast(pa.large_binary())
+        _, offsets, data = joined.buffers()
+        at = np.frombuffer(offsets, np.int64)[joined.offset :][np.concatenate(([0], np.cumsum(counts)))].tolist()
+        texts = [data[s:e].to_pybytes().decode("utf-8", "replace") if s < e else "" for s, e in zip(at, at[1:])]
+        return [t[1:] if t[:1] == " " else t for t in texts] if self.prefix else texts
 
-class _Words(dict):
-    """Ids of words that were met."""
 
-    def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces = pieces
-        self.old: dict[str, tuple[int, ...]] = {}
+class _Together:
+    """The BPE lattices of many words, all taken forward by one character at a time."""
 
-    def learn(self, words: set[str]) -> None:
-        self.update({w: self.old[w] for w in words if w in self.old})
-        order = sorted(w for w in words if w not in self)
-        self.update(zip(order, self.pieces.allowed(order) if self.pieces.bpe else (self.pieces.word(w)[0] for w in order), strict=True))
-
-    def total(self, word: str) -> float:
-        return self.pieces.word(word)[1]
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.known = pieces, Numbers()
+        chars = sorted({c for s in pieces.ids for c in s})
+        #: The number of each character; 0 is one of no piece.
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.chars, keys, ends, nodes = len(chars) + 1, [], [-1], [(0, pieces.endings)]
+        for node, below in nodes:
+            for c, (piece, further) in below.items():
+                keys.append(node * self.chars + int(self.number[ord(c)]))
+                ends.append(piece)
+                nodes.append((len(ends) - 1, further))
+        #: From a node of ``endings`` and a character to the next node, and the nodes' pieces.
+        self.next = Numbers(4 * len(keys))
+        self.next.put(np.array(keys, np.int64), np.arange(1, len(ends), dtype=np.int32))
+        self.ends = np.array(ends, np.int64)
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size = len(self.pieces.scores)
+        keys = (a.astype(np.int64) + 2) * size + b
+        found = self.known.get(keys)
+        missing = found < 0
+        if missing.any():
+            new, names = np.unique(keys[missing]), self.pieces.names
+            known = np.array([self.pieces._merge(names.get(k // size - 2, ""), names[k % size]) for k in new.tolist()], np.int32)
+            found[missing] = known[np.searchsorted(new, keys[missing])]
+            if self.known.size + len(new) > _PAIRS:
+                self.known = Numbers()
+            self.known.put(new, known)
+        return found > 0
+
+    def encode(self, points: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many pieces each word has, and all pieces in a row; points has the words' characters, n their lengths.
+
+        The words are sorted, so what a word begins like the one before is looked at once.
+        """
+        wide, all_words = int(n.max()), np.arange(len(n))
+        at, chars = np.cumsum(n) - n, np.full((wide, len(n)), -1, np.int32)
+        word = np.repeat(all_words, n)
+        chars[np.arange(len(points)) - at[word], word] = self.number[points]
+        last, begin = np.full((wide + 1, len(n)), _UNKNOWN, np.int32), np.zeros((wide + 1, len(n)), np.int8)
+        last[0] = _START
+        new = np.zeros(len(n), bool)  # whether the word differs from the one before up to here
+        new[0] = True
+        there = all_words
+        for end in range(1, wide + 1):
+            there = there[n[there] >= end]
+            new[1:] |= chars[end - 1, 1:] != chars[end - 1, :-1]
+            own = new[there]
+            live = there[own]
+            begin[end, live] = end - 1
+            node = np.zeros(len(live), np.int64)
+            for start in range(end - 1, max(-1, end - 1 - self.pieces.longest), -1):
+                node = self.next.get(node * self.chars + chars[start, live])
+                on = node >= 0
+                live, node = live[on], node[on]
+                piece = self.ends[node]
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    hit = hit[self.joined(last[start, live[hit]], piece[hit])]
+                    last[end, live[hit]], begin[end, live[hit]] = piece[hit], start
+                    on = np.ones(len(live), bool)
+                    on[hit] = False
+                    live, node = live[on], node[on]
+                if not len(live):
+                    break
+            from_word = np.maximum.accumulate(np.where(own, there, 0))
+            last[end, there], begin[end, there] = last[end, from_word], begin[end, from_word]
+        # Back from the ends: one piece of each word a step.
+        live, end, steps = all_words, n.copy(), []
+        while len(live):
+            steps.append((live, last[end[live], live]))
+            end[live] = begin[end[live], live]
+            live = live[end[live] > 0]
+        count = np.bincount(np.concatenate([w for w, _ in steps]), minlength=len(n))
+        upto, flat = np.cumsum(count), np.zeros(count.sum(), np.int32)
+        for k, (w, piece) in enumerate(steps):
+            flat[upto[w] - 1 - k] = piece
+        return count, flat
+
+
+class _Words:
+    """Ids of words that were met.  Words of up to _WIDE bytes are known by two hashes of 64 bits."""
 
-    def trim(self) -> None:
-        if len(self) > _CACHE:
-            self.old = dict(self)
-            self.clear()
-        if self.pieces.pairs_known > 6 * _CACHE:
-            self.pieces.pairs.clear()
-            self.pieces.pairs_known = 0
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place, self.proof = Numbers(2 * _CACHE), np.zeros(0, np.uint64)
+        self.first, self.count, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def find(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words, which are distinct: the first place of each in a row of ids, the number of its ids, and that row."""
+        _, offsets, data = words.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[: len(words) + 1].astype(np.int64)
+        data, n = np.frombuffer(data, np.uint8), np.diff(bounds)
+        if len(self.first) > _CACHE:
+            self._clear()
+        narrow = np.flatnonzero(n <= _WIDE) if self.pieces.together else np.zeros(0, np.int64)
+        key, proof = _hashes(data, bounds[narrow], n[narrow])
+        place = self.place.get(key)
+        place[place >= 0] = np.where(self.proof[place[place >= 0]] == proof[place >= 0], place[place >= 0], -1)
+        new = np.flatnonzero(place < 0)
+        new = new[np.unique(key[new], return_index=True)[1]] if len(new) else new
+        new = new[self.place.get(key[new]) < 0]
+        if len(new):
+            kept, count, flat = self._learn(words.take(pa.array(narrow[new])))
+            new = new[kept]
+            self.place.put(key[new], np.arange(len(self.first), len(self.first) + len(new), dtype=np.int32))
+            self.first = np.concatenate((self.first, (len(self.flat) + np.cumsum(count) - count).astype(np.int32)))
+            self.count, self.flat = np.concatenate((self.count, count.astype(np.int32))), np.concatenate((self.flat, flat))
+            self.proof = np.concatenate((self.proof, proof[new]))
+            place[new] = self.place.get(key[new])
+        first, count, flat = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64), [self.flat]
+        known = narrow[place >= 0]
+        first[known], count[known] = self.first[place[place >= 0]], self.count[place[place >= 0]]
+        # Wide words, those with unknown characters, and what has another's hash, one by one.
+        rest = np.flatnonzero(first < 0)
+        at = len(self.flat)
+        for i, ids in zip(rest.tolist(), self._each([words[i].as_py() for i in rest.tolist()]), strict=True):
+            first[i], count[i] = at, len(ids)
+            at += len(ids)
+            flat.append(np.array(ids, np.int32))
+        return first, count, np.concatenate(flat) if len(rest) else self.flat
+
+    def _each(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        p, texts = self.pieces, [w.decode("utf-8", "surrogatepass").replace(" ", MARK) for w in words]
+        if not p.bpe:
+            return [p.word(t)[0] for t in texts]
+        order = sorted(range(len(texts)), key=texts.__getitem__)
+        found = dict(zip(order, p.allowed([texts[i] for i in order]), strict=True))
+        return [found[i] for i in range(len(texts))]
+
+    def _learn(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the words have known characters only, in some order; the numbers of their pieces, and these in a row."""
+        order = pc.sort_indices(words).to_numpy()
+        kept, counts, flats = [], [], []
+        for k in range(0, len(order), _TOGETHER):
+            part = order[k : k + _TOGETHER]
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(part)], words.take(pa.array(part))), b"")[0].as_py()
+            points = np.frombuffer(text.decode("utf-8", "surrogatepass").replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32)
+            n = pc.utf8_length(words.take(pa.array(part)).cast(pa.string())).to_numpy().astype(np.int64)
+            count, ids = self.pieces.together.encode(points, n)
+            rare = np.bincount(np.repeat(np.arange(len(n)), count)[ids < 0], minlength=len(n)) > 0
+            kept.append(part[~rare])
+            counts.append(count[~rare])
+            flats.append(ids[~np.repeat(rare, count)])
+        return np.concatenate(kept), np.concatenate(counts), np.concatenate(flats)
+
+
+def _hashes(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of n bytes, byte by byte for all runs; the first has 63 bits."""
+    a, b = n.astype(np.uint64), n.astype(np.uint64)
+    live = np.arange(len(n))
+    for k in range(int(n.max(initial=0))):
+        live = live[n[live] > k]
+        byte = data[at[live] + k].astype(np.uint64)
+        a[live] = _mixed((a[live] ^ byte) * np.uint64(0x9E3779B97F4A7C15))
+        b[live] = _mixed((b[live] + byte) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (a >> np.uint64(1)).astype(np.int64), b
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return x ^ x >> np.uint64(29)
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -329,17 +561,32 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1, initial=-np.inf)
 
 
-def edges(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The states at both edges of each chunk on the best path through all."""
-    ahead = [matrices[0]]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    return functools.reduce(combine, matrices)
+
+
+def between(matrices: list[np.ndarray], row: int, column: int) -> list[tuple[int, int]]:
+    """The states at both edges of each matrix on the best path from the row of the first to the column of the last."""
+    ahead = [matrices[0][row]]
     for m in matrices[1:]:
-        ahead.append(combine(ahead[-1], m))
-    column, out = int(ahead[-1][0].argmax()), []
-    for k in range(len(matrices) - 1, -1, -1):
-        row = int((ahead[k - 1][0] + matrices[k][:, column]).argmax()) if k else 0
-        out.append((row, column))
-        column = row
-    return out[::-1]
+        ahead.append((ahead[-1][:, None] + m).max(axis=0, initial=-np.inf))
+    out = []
+    for k in range(len(matrices) - 1, 0, -1):
+        through = int((ahead[k - 1] + matrices[k][:, column]).argmax())
+        out.append((through, column))
+        column = through
+    return [*reversed([*out, (row, column)])]
+
+
+def edges(matrices: list[np.ndarray], fan: int = FAN) -> list[tuple[int, int]]:
+    """The states at both edges of each chunk on the best path through all: up a tree of products, and down again."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        levels.append([product(levels[-1][k : k + fan]) for k in range(0, len(levels[-1]), fan)])
+    found = [(0, int(levels[-1][0][0].argmax()))]
+    for level in reversed(levels[:-1]):
+        found = [x for k, (row, column) in enumerate(found) for x in between(level[k * fan : (k + 1) * fan], row, column)]
+    return found
 
 
 def chunks(normal: str, size: int, context: int) -> Iterator[tuple[str, int, int]]:
@@ -350,23 +597,45 @@ def chunks(normal: str, size: int, context: int) -> Iterator[tuple[str, int, int
 
 
 @functools.lru_cache(maxsize=2)
-def _loaded(path: str) -> Pieces:
-    return Pieces.load(path)
+def _loaded(model: str | bytes) -> Pieces:
+    return Pieces.load(model) if isinstance(model, str) else Pieces.read(model)
 
 
-def _pieces(model: str | Pieces) -> Pieces:
-    return _loaded(model) if isinstance(model, str) else model
+# --- on Spark
 
+#: Bytes of a model file that go to tasks with their code, at most.
+MOST_BYTES = 1 << 26
 
-# --- on Spark
+
+def shipped(model: str) -> bytes:
+    """The model file's bytes, which the tasks get with their code, so that only the driver needs the file."""
+    with open(model, "rb") as file:
+        content = file.read(MOST_BYTES + 1)
+    if len(content) > MOST_BYTES:
+        raise ValueError(f"{model} has over {MOST_BYTES} bytes")
+    return content
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring texts of about _BATCH bytes together."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(upto // _BATCH)) + 1).tolist(), len(texts)] if len(texts) else []
+    yield from (texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
+
+
+def _lists(counts: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode_column(model: str):
+    content = shipped(model)
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pd.Series) -> pd.Series:
-        p, out = _pieces(model), []
-        for k in range(0, len(texts), _BATCH):
-            out += [np.array(ids, np.int32) for ids in p.encode_all([p.normal(t) for t in texts.iloc[k : k + _BATCH]])]
+        p, out = _loaded(content), []
+        for part in _slices(pa.array(texts, pa.string())):
+            counts, ids = p.encode_texts(part)
+            out += np.split(ids, np.cumsum(counts)[:-1])
         return pd.Series(out, index=texts.index, dtype=object)
 
     # Marked so that the optimiser doesn't copy it into each use of its result.
@@ -374,28 +643,30 @@ def encode_column(model: str):
 
 
 def decode_column(model: str):
+    content = shipped(model)
+
     @F.pandas_udf(T.StringType())
     def decode(ids: pd.Series) -> pd.Series:
-        p = _pieces(model)
-        return pd.Series([None if x is None else p.decode(np.asarray(x, np.int64).tolist()) for x in ids], index=ids.index, dtype=object)
+        p = _loaded(content)
+        return pd.Series([None if x is None else p.decode(x) for x in ids], index=ids.index, dtype=object)
 
     return decode
 
 
-def _cut_up(model: str, size: int):
+def _cut_up(model: bytes, size: int):
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _pieces(model)
+        p = _loaded(model)
         for batch in batches:
-            for sha, text in zip(batch.column("sha").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for k, (part, left, right) in enumerate(chunks(p.normal(text), size, p.longest)):
-                    yield pa.RecordBatch.from_pydict({"sha": [sha], "k": [k], "part": [part], "left_edge": [left], "right_edge": [right]})
+            for sha, text in zip(batch.column("sha"), batch.column("text"), strict=True):
+                for k, (part, left, right) in enumerate(chunks(p.normal(text.as_py()), size, p.longest)):
+                    yield pa.RecordBatch.from_pydict({"sha": [sha.as_py()], "k": [k], "part": [part], "left_edge": [left], "right_edge": [right]})
 
     return cut_up
 
 
-def _matrices(model: str):
+def _matrices(model: bytes):
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _pieces(model)
+        p = _loaded(model)
         for batch in batches:
             for r in batch.to_pylist():
                 m = p.matrix(r["part"], r["left_edge"], r["right_edge"])
@@ -404,15 +675,31 @@ def _matrices(model: str):
     return matrices
 
 
-def _edges(group: pd.DataFrame) -> pd.DataFrame:
+def _of_group(group: pd.DataFrame) -> list[np.ndarray]:
+    return [np.array(c).reshape(n, -1) for n, c in zip(group["row_count"], group["cells"], strict=True)]
+
+
+def _product(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("k")
-    found = edges([np.array(c).reshape(n, -1) for n, c in zip(group["row_count"], group["cells"], strict=True)])
+    m = product(_of_group(group))
+    return pd.DataFrame({"sha": group["sha"].iloc[:1].to_numpy(), "k": group["run"].iloc[:1].to_numpy(), "row_count": [m.shape[0]], "cells": [m.ravel().tolist()]})
+
+
+def _between(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("k")
+    found = between(_of_group(group), int(group["row"].iloc[0]), int(group["column"].iloc[0]))
     return pd.DataFrame({"sha": group["sha"].to_numpy(), "k": group["k"].to_numpy(), "row": [r for r, _ in found], "column": [c for _, c in found]})
 
 
-def _backtraces(model: str):
+def _best(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in group:
+        best = [int(np.argmax(c[: len(c) // n])) for n, c in zip(batch.column("row_count").to_pylist(), batch.column("cells").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("sha"), batch.column("k"), pa.array([0] * len(best), pa.int64()), pa.array(best, pa.int64())], ["sha", "k", "row", "column"])
+
+
+def _backtraces(model: bytes):
     def backtraces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _pieces(model)
+        p = _loaded(model)
         for batch in batches:
             for r in batch.to_pylist():
                 ids = p.backtrace(r["part"], r["left_edge"], r["right_edge"], r["row"], r["column"])
@@ -421,13 +708,22 @@ def _backtraces(model: str):
     return backtraces
 
 
-def encode_long(texts: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encode_long(texts: DataFrame, model: str = MODEL, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``sha, ids`` of the distinct texts of ``texts(sha, text)``, chunk by chunk."""
-    distinct = texts.dropDuplicates(["sha"])
-    parts = checkpoint(distinct.mapInArrow(_cut_up(model, chunk), "sha string, k bigint, part string, left_edge bigint, right_edge bigint").repartition("sha", "k"))
-    matrices = parts.mapInArrow(_matrices(model), "sha string, k bigint, row_count bigint, cells array<double>")
-    path = matrices.groupBy("sha").applyInPandas(_edges, "sha string, k bigint, row bigint, column bigint")
-    traced = parts.join(path, ["sha", "k"]).mapInArrow(_backtraces(model), "sha string, k bigint, part_ids array<int>")
+    content, distinct = shipped(model), texts.dropDuplicates(["sha"])
+    parts = checkpoint(distinct.mapInArrow(_cut_up(content, chunk), "sha string, k bigint, part string, left_edge bigint, right_edge bigint").repartition("sha", "k"))
+    cells, places = "sha string, k bigint, row_count bigint, cells array<double>", "sha string, k bigint, row bigint, column bigint"
+    run = F.floor(F.col("k") / fan).cast("long")
+    levels = [checkpoint(parts.mapInArrow(_matrices(content), cells))]
+    most = levels[0].agg(F.max("k")).first()[0] or 0
+    while most > 0:
+        levels.append(checkpoint(levels[-1].withColumn("run", run).groupBy("sha", "run").applyInPandas(_product, cells)))
+        most //= fan
+    found = levels[-1].mapInArrow(_best, places)
+    for level in reversed(levels[:-1]):
+        own = level.withColumn("run", run).join(found.withColumnRenamed("k", "run"), ["sha", "run"])
+        found = own.groupBy("sha", "run").applyInPandas(_between, places)
+    traced = parts.join(found, ["sha", "k"]).mapInArrow(_backtraces(content), "sha string, k bigint, part_ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("k", "part_ids")))
     return traced.groupBy("sha").agg(F.flatten(F.transform(ordered, lambda x: x["part_ids"])).alias("ids"))
 
@@ -435,7 +731,8 @@ def encode_long(texts: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Dat
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, ids`` of each row of docs(doc_id, text).
 
-    A null or empty text has no ids; repeated rows have equal ids; other columns are ignored.
+    A null or empty text has no ids; repeated rows have equal ids; other columns are ignored, an empty table gives an empty result.
+    A text of over ``chunk`` code points is scanned in chunks, with the same ids.  Of paths with equal scores (unigram models) one is taken.
     """
     rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
     long = F.char_length("text") > chunk
@@ -453,15 +750,17 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.withColumn("decoded", decode_column(model)(F.col("ids")))
 
 
-def _both(model: str):
+def _both(model: bytes):
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _pieces(model)
+        p = _loaded(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(k, _BATCH)
-                ids = p.encode_all([p.normal(t) for t in part.column("text").to_pylist()])
-                back = [hashlib.sha256(p.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back)], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+            done = 0
+            for part in _slices(batch.column("text")):
+                counts, ids = p.encode_texts(part)
+                back = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in p.decode_texts(counts, ids)]
+                own = batch.column("doc_id").slice(done, len(part))
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([own, pa.array(counts, pa.int64()), _lists(counts, ids), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
     return both
 
@@ -471,6 +770,6 @@ def encoded_and_back(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) ->
     rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
     long = F.char_length("text") > chunk
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    short = rows.where(~long).mapInArrow(_both(model), f"doc_id {id_type}, n_tokens bigint, ids array<int>, decoded_sha256 string")
+    short = rows.where(~long).mapInArrow(_both(shipped(model)), f"doc_id {id_type}, n_tokens bigint, ids array<int>, decoded_sha256 string")
     back = decode(_scanned(rows.where(long), model, chunk), model)
     return short.unionByName(back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")))
