@@ -2,8 +2,9 @@
 
 ``read`` finds frames by their headers.  Where a header is not valid it searches on byte by byte for one that
 another valid header follows (or the end), and counts what it skipped.  It parses ID3v2 and ID3v1 tags and Xing, Info
-and VBRI tables, verifies the CRC-16 of Layer III frames that have one, and keeps the exact duration as samples and
-sample rate, and each frame's offset for seeking.
+and VBRI tables, verifies the CRC-16 of frames that have one (over the side information of Layer III, the bit allocation of Layer I,
+allocation and scale factor selection of Layer II), and keeps the exact duration as samples and sample rate, and each
+frame's offset for seeking.  The last 128 bytes are an ID3v1 tag only where no frame in step with the others covers them.
 
 ``pack`` makes a stream of MPEG-1 Layer III frames, 48 kHz, one channel, 224 kbit/s: silent side information with
 a checksum, then 576 payload bytes where a player finds ancillary data.  A tag holds the unpadded length and a Xing
@@ -37,6 +38,9 @@ BITRATES = {
 #: Hz by index for MPEG-1; MPEG-2 has half, MPEG-2.5 a quarter.
 RATES = (44100, 48000, 32000)
 
+#: Layer II's widths of a subband's allocation as (width, subbands) runs: tables B.2a to B.2d, and the one of MPEG-2.
+ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "2": ((4, 4), (3, 7), (2, 19))}
+
 BLOCK = 576
 PAD = 0xFF
 _SIDE = 17
@@ -55,6 +59,7 @@ class Header:
     protected: bool
     length: int
     samples: int
+    bound: int
 
     @property
     def side(self) -> int:
@@ -76,7 +81,8 @@ def header(four: bytes) -> Header | None:
     rate = RATES[rate_index] // {1.0: 1, 2.0: 2, 2.5: 4}[version]
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
     length = (12 * kbits * 1000 // rate + padding) * 4 if layer == 1 else samples // 8 * kbits * 1000 // rate + padding
-    return Header(version, layer, kbits, rate, 1 if four[3] >> 6 == 3 else 2, not four[1] & 1, length, samples)
+    bound = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 32  # from here joint stereo has one allocation for both channels
+    return Header(version, layer, kbits, rate, 1 if four[3] >> 6 == 3 else 2, not four[1] & 1, length, samples, bound)
 
 
 @lru_cache(maxsize=65536)
@@ -90,6 +96,42 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def _allocation(h: Header) -> tuple[tuple[int, int], ...]:
+    each = h.bitrate // h.channels
+    if h.version != 1:
+        return ALLOCATION["2"]
+    if each < 56:
+        return ALLOCATION["d" if h.rate == 32000 else "c"]
+    return ALLOCATION["a" if h.rate == 48000 or each <= 80 else "b"]
+
+
+def checked_bits(frame: bytes, h: Header) -> int:
+    """How many bits after the checksum it covers."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (h.bound * h.channels + 32 - h.bound)
+    bits, at, chosen, band = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big"), 0, 0, 0
+    for width, bands in _allocation(h):
+        for _ in range(bands):
+            for _ in range(h.channels if band < h.bound else 1):
+                if bits >> 512 - at - width & (1 << width) - 1:
+                    chosen += 1 if band < h.bound else h.channels
+                at += width
+            band += 1
+    return at + 2 * chosen
+
+
+def checksum(frame: bytes, h: Header) -> int:
+    """The CRC-16 that the frame should have: of the header's last two bytes and the bits that it covers."""
+    n = checked_bits(frame, h)
+    crc = crc16(frame[2:4] + frame[6 : 6 + n // 8])
+    for k in range(n % 8):
+        bit = frame[6 + n // 8] >> 7 - k & 1 if len(frame) > 6 + n // 8 else 0
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15) ^ bit else crc << 1) & 0xFFFF
+    return crc
+
+
 @dataclass
 class Stream:
     """What a stream holds.  samples and seconds are of audio frames; the frame of a seek table has none."""
@@ -199,9 +241,9 @@ def read(data: bytes | None) -> Stream:
             if h.layer == 3 and _table(data, at, h, s):
                 at += h.length
                 continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             s.crc_checked += 1
-            s.crc_failed += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            s.crc_failed += checksum(data[at : at + h.length], h) != int.from_bytes(data[at + 4 : at + 6], "big")
         s.frames += 1
         s.samples += h.samples
         s.bitrate_low = min(s.bitrate_low or h.bitrate, h.bitrate)
@@ -311,7 +353,11 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
-    """What comes back of each text: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``, then durations and seek offsets."""
+    """What comes back of each text: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``, then durations and seek offsets.
+
+    A null or empty text is one block of padding; texts of any length and content come back whole.  Repeated rows have equal results,
+    an empty table gives an empty one, and columns of docs other than doc_id and text are ignored, whatever their names.
+    """
     found = describe(store(docs))
     p = F.col("stream.payload")
     return found.select(
