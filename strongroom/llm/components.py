@@ -32,21 +32,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Map each node of ``edges(a, b)`` to the least node it reaches: columns ``node``, ``root``.
 
     Alternating large-star and small-star rounds; the star graph they end in has one edge
-    from each node to its root.  Nodes without an edge (and self loops) do not appear; null ends
+    from each node to its root.  There are as many rounds as it takes, about the logarithm of the longest path.  Nodes without an edge (and self loops) do not appear; null ends
     are dropped.  Every round is checkpointed, so lineage stays short and nothing but
     a count and a hash reaches the driver.
     """
     u, v = F.greatest("a", "b"), F.least("a", "b")
     star = checkpoint(edges.where("a <> b").select(u.alias("u"), v.alias("v")).distinct())
     before = _fingerprint(star)
-    for _ in range(max_rounds):
+    while True:
         star = checkpoint(_small_star(_large_star(star)))
         after = _fingerprint(star)
         if after == before:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,10 @@ SEED = 42
 SAMPLE = 20_000
 #: Ids of dropped documents that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Of these so many are compared in pairs, about.
+PAIRED = 3_000
+#: What a probe costs, in candidates.
+_PROBE = 4.0
 #: Entries of a bucket that one task verifies at once.
 BLOCK = 2_048
 
@@ -101,39 +106,41 @@ def _parts(bits: np.ndarray, m: int) -> list[int]:
     return masks
 
 
-def _cost(values: np.ndarray, mask: int, threshold: int, total: int) -> float:
-    """Probes and expected candidates over total fingerprints, from the sample's bucket sizes."""
-    if threshold < 0:
-        return 0.0
-    keys, counts = np.unique(values & np.uint64(mask), return_counts=True)
-    scale, met = total / max(1, len(values)), 0.0
-    balls = _balls(mask, threshold)
-    for flip in balls:
-        at = np.minimum(np.searchsorted(keys, other := keys ^ np.uint64(flip)), len(keys) - 1)
-        met += float((counts * counts[at] * (keys[at] == other)).sum())
-    met -= len(values)  # each with itself
-    uniform = len(balls) * total**2 / 2.0 ** bin(mask).count("1")  # a small sample sees no chance meetings
-    return 4.0 * total * len(balls) + max(met * scale**2, uniform)
+def expected(values: np.ndarray, mask: int, most: int, total: int) -> list[float]:
+    """Pairs that meet in a part with a threshold of 0, 1 ... most, among total fingerprints, from all pairs of the values."""
+    width, own = bin(mask).count("1"), values & np.uint64(mask)
+    apart = np.zeros(65)
+    for k in range(0, len(own), 256):
+        apart += np.bincount(np.bitwise_count(own[k : k + 256, None] ^ own[None, k + 1 :])[np.arange(k, min(k + 256, len(own)))[:, None] < np.arange(k + 1, len(own))[None, :]], minlength=65)
+    pairs = total * (total - 1) / 2
+    seen = np.cumsum(apart) * pairs / max(1, len(own) * (len(own) - 1) / 2)
+    chance = [pairs * sum(comb(width, j) for j in range(t + 1)) / 2.0**width for t in range(most + 1)]  # a small sample sees no chance meetings
+    return [max(float(seen[t]), chance[t]) for t in range(most + 1)]
 
 
 def plan_search(sample: np.ndarray, total: int, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(mask, threshold) of each part that is probed, the cheapest found over the numbers of parts."""
+    """(mask, threshold) of each part that is probed, the cheapest found over the numbers of parts.
+
+    Thresholds run from -1 (the part is not probed) to the radius, each at the cost of its probes and expected candidates.
+    """
     values = np.unique(sample.astype(np.int64).view(np.uint64))
     bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float) if len(values) else np.zeros((1, 64))
+    some = values[:: len(values) // PAIRED + 1]
     best: tuple[float, list[tuple[int, int]]] | None = None
-    for m in range(2, radius + 3):
+    for m in range(1, radius + 3):
         masks, aim = _parts(bits, m), radius - m + 1
         # cost[s]: the cheapest thresholds of the parts so far that add up to s
         cost: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for mask in masks:
-            own = {t: _cost(values, mask, t, total) for t in range(-1, (1 if m > 2 else 2))} if len(values) else {t: float(t) for t in range(-1, 3)}
+            met = expected(some, mask, radius, total)
+            own = {-1: 0.0} | {t: _PROBE * total * sum(comb(bin(mask).count("1"), k) for k in range(t + 1)) + met[t] for t in range(radius + 1)}
             step: dict[int, tuple[float, list[int]]] = {}
             for s, (c, chosen) in cost.items():
                 for t, more in own.items():
                     if s + t not in step or c + more < step[s + t][0]:
                         step[s + t] = (c + more, [*chosen, t])
             cost = step
-        if aim in cost and (best is None or cost[aim][0] < best[0]):
+        if best is None or cost[aim][0] < best[0]:
             best = (cost[aim][0], [(mask, t) for mask, t in zip(masks, cost[aim][1], strict=True) if t >= 0])
     assert best is not None
     return best[1]
@@ -141,12 +148,13 @@ def plan_search(sample: np.ndarray, total: int, radius: int = RADIUS) -> list[tu
 
 def _entries(plan: list[tuple[int, int]], fp: Column) -> Column:
     """A fingerprint's own bucket in each part, and the buckets around it that it probes."""
-    found = []
-    for k, (mask, threshold) in enumerate(plan):
+
+    def of_part(k: int, mask: int, threshold: int) -> Column:
         key = fp.bitwiseAND(F.lit(_signed(mask)))
-        for flip in _balls(mask, threshold):
-            found.append(F.struct(F.lit(k).alias("part"), key.bitwiseXOR(F.lit(_signed(flip))).alias("key"), F.lit(flip == 0).alias("indexed")))
-    return F.explode(F.array(*found))
+        flips = F.split(F.lit(",".join(str(_signed(x)) for x in _balls(mask, threshold))), ",").cast("array<bigint>")
+        return F.transform(flips, lambda x: F.struct(F.lit(k).alias("part"), key.bitwiseXOR(x).alias("key"), (x == 0).alias("indexed")))
+
+    return F.explode(F.concat(*(of_part(k, mask, threshold) for k, (mask, threshold) in enumerate(plan))))
 
 
 def _forest(fps: np.ndarray, indexed: np.ndarray, sides: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
