@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from strongroom.llm._common import checkpoint, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 14
+CHUNK = 1 << 15
 #: Matrices of one text that are combined in one task.
 FAN = 64
 MARK = "▁"
@@ -364,15 +364,20 @@ class Pieces:
 
     def backtrace(self, text: str, left: int, right: int, row: int, column: int) -> list[int]:
         """The ids of the pieces that begin between the edges, on the best path from state to state."""
+        head, middle, tail = self.parts(text, left, right, row, column)
+        return head + self.encode(middle) + tail
+
+    def parts(self, text: str, left: int, right: int, row: int, column: int) -> tuple[list[int], str, list[int]]:
+        """The ids of a backtrace up to its first cut, the text between the cuts, and the ids after the last one."""
         state, goal = self.states(text, left)[row], self.states(text, right)[column]
         if state == goal:
-            return []
+            return [], "", []
         if cut := self.cuts(text, left, right):
             best = self.forward(text, state, cut[0])
             head = self.back(text, best, state, (best[cut[0]][1], cut[0])) if cut[0] > state[1] else []
             tail = (cut[1], cut[1])
-            return head + self.encode(text[cut[0] : cut[1]]) + self.back(text, self.forward(text, tail, right), tail, goal)
-        return self.back(text, self.forward(text, state, right), state, goal)
+            return head, text[cut[0] : cut[1]], self.back(text, self.forward(text, tail, right), tail, goal)
+        return self.back(text, self.forward(text, state, right), state, goal), "", []
 
     def decode(self, ids) -> str:
         return self.decode_texts(np.array([len(ids)]), np.asarray(ids, np.int64))[0]
@@ -603,6 +608,8 @@ def _loaded(model: str | bytes) -> Pieces:
 
 # --- on Spark
 
+#: Chunks whose places (about 100 bytes each) are broadcast at most.
+BROADCAST_CHUNKS = 100_000
 #: Bytes of a model file that go to tasks with their code, at most.
 MOST_BYTES = 1 << 26
 
@@ -658,8 +665,8 @@ def _cut_up(model: bytes, size: int):
         p = _loaded(model)
         for batch in batches:
             for sha, text in zip(batch.column("sha"), batch.column("text"), strict=True):
-                for k, (part, left, right) in enumerate(chunks(p.normal(text.as_py()), size, p.longest)):
-                    yield pa.RecordBatch.from_pydict({"sha": [sha.as_py()], "k": [k], "part": [part], "left_edge": [left], "right_edge": [right]})
+                parts = list(chunks(p.normal(text.as_py()), size, p.longest))
+                yield pa.RecordBatch.from_pydict({"sha": [sha.as_py()] * len(parts), "k": list(range(len(parts))), "part": [x for x, _, _ in parts], "left_edge": [x for _, x, _ in parts], "right_edge": [x for _, _, x in parts]})
 
     return cut_up
 
@@ -668,13 +675,17 @@ def _matrices(model: bytes):
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _loaded(model)
         for batch in batches:
-            for r in batch.to_pylist():
-                m = p.matrix(r["part"], r["left_edge"], r["right_edge"])
-                yield pa.RecordBatch.from_pydict({"sha": [r["sha"]], "k": [r["k"]], "row_count": [m.shape[0]], "cells": [m.ravel().tolist()]})
+            found = [p.matrix(r["part"].as_py(), r["left_edge"].as_py(), r["right_edge"].as_py()) for r in _rows(batch)]
+            cells = pa.array([m.ravel() for m in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("sha"), batch.column("k"), pa.array([m.shape[0] for m in found], pa.int64()), cells], ["sha", "k", "row_count", "cells"])
 
     return matrices
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
+    return (dict(zip(batch.schema.names, x, strict=True)) for x in zip(*batch.columns, strict=True))
+
+
 def _of_group(group: pd.DataFrame) -> list[np.ndarray]:
     return [np.array(c).reshape(n, -1) for n, c in zip(group["row_count"], group["cells"], strict=True)]
 
@@ -701,29 +712,40 @@ def _backtraces(model: bytes):
     def backtraces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _loaded(model)
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = p.backtrace(r["part"], r["left_edge"], r["right_edge"], r["row"], r["column"])
-                yield pa.RecordBatch.from_arrays([pa.array([r["sha"]]), pa.array([r["k"]]), pa.array([ids], pa.list_(pa.int32()))], ["sha", "k", "part_ids"])
+            done = 0
+            for texts in _slices(batch.column("part")):
+                part = batch.slice(done, len(texts))
+                done += len(texts)
+                found = [p.parts(*(r[c].as_py() for c in ("part", "left_edge", "right_edge", "row", "column"))) for r in _rows(part)]
+                counts, ids = p.encode_texts(pa.array([middle for _, middle, _ in found], pa.string()), False)
+                whole = [np.concatenate((np.array(head, np.int32), own, np.array(tail, np.int32))) for (head, _, tail), own in zip(found, np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("sha"), part.column("k"), pa.array(whole, pa.list_(pa.int32()))], ["sha", "k", "part_ids"])
 
     return backtraces
 
 
 def encode_long(texts: DataFrame, model: str = MODEL, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """``sha, ids`` of the distinct texts of ``texts(sha, text)``, chunk by chunk."""
-    content, distinct = shipped(model), texts.dropDuplicates(["sha"])
-    parts = checkpoint(distinct.mapInArrow(_cut_up(content, chunk), "sha string, k bigint, part string, left_edge bigint, right_edge bigint").repartition("sha", "k"))
+    """``sha, ids`` of the distinct texts of ``texts(sha, text)``, chunk by chunk.
+
+    Texts go through one shuffle, as chunks.  The edges' states are broadcast if a count finds few enough of them, else joined.
+    """
+    content, tasks = shipped(model), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = texts.select("sha", "text").mapInArrow(_cut_up(content, chunk), "sha string, k bigint, part string, left_edge bigint, right_edge bigint")
+    parts = checkpoint(parts.dropDuplicates(["sha", "k"]))
     cells, places = "sha string, k bigint, row_count bigint, cells array<double>", "sha string, k bigint, row bigint, column bigint"
-    run = F.floor(F.col("k") / fan).cast("long")
+    in_runs = lambda level: level.withColumn("run", F.floor(F.col("k") / fan).cast("long")).repartition(tasks, "sha", "run")
     levels = [checkpoint(parts.mapInArrow(_matrices(content), cells))]
-    most = levels[0].agg(F.max("k")).first()[0] or 0
+    size = levels[0].agg(F.max("k").alias("most"), F.count(F.lit(1)).alias("n")).first()
+    most = size["most"] or 0
     while most > 0:
-        levels.append(checkpoint(levels[-1].withColumn("run", run).groupBy("sha", "run").applyInPandas(_product, cells)))
+        levels.append(checkpoint(in_runs(levels[-1]).groupBy("sha", "run").applyInPandas(_product, cells)))
         most //= fan
     found = levels[-1].mapInArrow(_best, places)
     for level in reversed(levels[:-1]):
-        own = level.withColumn("run", run).join(found.withColumnRenamed("k", "run"), ["sha", "run"])
+        own = in_runs(level).join(found.withColumnRenamed("k", "run"), ["sha", "run"])
         found = own.groupBy("sha", "run").applyInPandas(_between, places)
-    traced = parts.join(found, ["sha", "k"]).mapInArrow(_backtraces(content), "sha string, k bigint, part_ids array<int>")
+    found = checkpoint(found)
+    traced = parts.join(F.broadcast(found) if size["n"] <= BROADCAST_CHUNKS else found, ["sha", "k"]).mapInArrow(_backtraces(content), "sha string, k bigint, part_ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("k", "part_ids")))
     return traced.groupBy("sha").agg(F.flatten(F.transform(ordered, lambda x: x["part_ids"])).alias("ids"))
 
