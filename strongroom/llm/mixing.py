@@ -100,10 +100,10 @@ def plan(sizes: DataFrame, seed: int = SEED, **options) -> DataFrame:
     return quota.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").select("source", "source_size", "target", "whole", "more", "cut", "part")
 
 
-def _extra(size: Column, place: Column) -> Column:
+def _extra(size: Column, place: Column, prefix: str) -> Column:
     """Words beyond the whole repetitions; none if there is no cut."""
-    cut = F.col("__mix_cut")
-    return F.when(cut.isNull(), F.lit(0)).when(place < cut, size).when(place == cut, F.col("__mix_part")).otherwise(0).cast("long")
+    cut = F.col(f"{prefix}cut")
+    return F.when(cut.isNull(), F.lit(0)).when(place < cut, size).when(place == cut, F.col(f"{prefix}part")).otherwise(0).cast("long")
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -111,17 +111,20 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return checkpoint(narrow.withColumn("place", _place(F.col("doc_id"), F.col("size"), seed)))
 
 
-def _with_quota(rows: DataFrame, quotas: DataFrame) -> DataFrame:
-    """rows(source, ...) with their source's quota, as columns that begin with __mix_.
+def _with_quota(rows: DataFrame, quotas: DataFrame) -> tuple[DataFrame, str]:
+    """rows(source, ...) with their source's quota, in columns that begin with the prefix that comes with it; no column of rows begins so.
 
     How many sources there are is checked: a broadcast leaves the rows where they are; else a hot source is salted.
     """
-    quotas = checkpoint(quotas.select(*(F.col(c).alias(f"__mix_{c}") for c in quotas.columns)))
-    same = rows["source"].eqNullSafe(F.col("__mix_source"))
+    prefix = "__mix_"
+    while any(c.lower().startswith(prefix) for c in rows.columns):
+        prefix = f"_{prefix}"
+    quotas = checkpoint(quotas.select(*(F.col(c).alias(f"{prefix}{c}") for c in quotas.columns)))
+    same = rows["source"].eqNullSafe(F.col(f"{prefix}source"))
     if quotas.count() <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(quotas), same)
-    salted = quotas.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.join(salted, same & (F.pmod(F.xxhash64(rows["doc_id"]), F.lit(SALTS).cast("long")) == F.col("__mix_salt")))
+        return rows.join(F.broadcast(quotas), same), prefix
+    salted = quotas.withColumn(f"{prefix}salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(salted, same & (F.pmod(F.xxhash64(rows["doc_id"]), F.lit(SALTS).cast("long")) == F.col(f"{prefix}salt"))), prefix
 
 
 def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
@@ -131,21 +134,24 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     a null source is a source; repeated rows share what is taken evenly; an empty table gives an empty result.
     """
     sizes = sized(docs, seed)
-    joined = _with_quota(sizes, plan(sizes, seed, **options))
-    taken = F.col("__mix_whole") * F.col("size") + _extra(F.col("size"), F.col("place"))
-    return joined.select("doc_id", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), taken.alias("taken"))
+    joined, prefix = _with_quota(sizes, plan(sizes, seed, **options))
+    taken = F.col(f"{prefix}whole") * F.col("size") + _extra(F.col("size"), F.col("place"), prefix)
+    return joined.select("doc_id", "size", F.col(f"{prefix}source_size").alias("source_size"), F.col(f"{prefix}target").alias("target"), taken.alias("taken"))
 
 
 def repeat(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each repetition.
 
     The last repetition of the document at a source's cut has its first words only, a space apart, and n_chars (where docs has it) of that text.
+    A null or empty text has no words and is used as often as its source is as a whole; a null source is a source; repeated rows are each
+    repeated; texts of any length stay whole otherwise; other columns stay, whatever their names; an empty table gives an empty one.
     """
     name = {n: fresh_name(docs, n) for n in ("size", "extra", "copy")}
-    out = _with_quota(docs, plan(sized(docs, seed), seed, **options)).withColumn(name["size"], words(docs["text"]))
+    out, prefix = _with_quota(docs, plan(sized(docs, seed), seed, **options))
+    out = out.withColumn(name["size"], words(docs["text"]))
     size = F.col(name["size"])
-    out = out.withColumn(name["extra"], _extra(size, _place(docs["doc_id"], size, seed)))
-    whole, extra = F.col("__mix_whole"), F.col(name["extra"])
+    out = out.withColumn(name["extra"], _extra(size, _place(docs["doc_id"], size, seed), prefix))
+    whole, extra = F.col(f"{prefix}whole"), F.col(name["extra"])
     times = whole + (extra > 0).cast("long")
     out = out.withColumn(name["copy"], F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))))
     part = (F.col(name["copy"]) > whole) & (extra < size)

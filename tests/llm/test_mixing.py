@@ -88,3 +88,16 @@ def test_empty_and_all_null(spark):
     assert M.mix(docs.limit(0)).count() == 0 and M.repeat(docs.limit(0)).count() == 0
     only = spark.createDataFrame([(None, None, None), (1, "", None)], "doc_id long, text string, source string")
     assert [tuple(r) for r in M.mix(only).orderBy("doc_id").collect()] == [(None, 0, 0, 0.0, 0), (1, 0, 0, 0.0, 0)]
+
+
+def test_clashing_names_and_long_texts(spark):
+    rows = [(1, "w " * 300_000, "a", 1, "b", 2), (2, "x y", "a", 3, None, 4), (2, "x y", "a", 3, None, 4), (3, "", None, None, "c", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __mix_cut int, __MIX_part string, __size int")
+    out = M.repeat(docs)
+    assert out.columns == docs.columns
+    made, counted = Counter(), Counter()
+    for r in out.collect():
+        made[r.doc_id] += len((r.text or "").split())
+    for r in M.mix(docs).collect():
+        counted[r.doc_id] += r.taken
+    assert +made == +counted and made[1] > 300_000
