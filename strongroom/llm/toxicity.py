@@ -4,7 +4,8 @@ A text's features say which hashed n-grams of 3 to 5 characters it holds (lower
 space as one space, a space at either end).  A feature's value is the log ratio of its smoothed
 frequencies in toxic and other examples; logistic regression weighs these values.  The examples are a
 bounded sample: up to ``fit_rows`` labelled documents of each class, those whose hashed ids
-are least.  Class weights restore the rates of all labelled rows.
+are least.  Class weights restore the rates of all labelled rows.  How great an n-gram's chi-squared has to be to count, and the penalty, are those
+of GRID with the fewest wrong decisions over folds of the examples; no other row has a part in the choice.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from strongroom.llm._minimise import minimise
 BITS = 18
 #: Labelled documents of each class that the model is fitted on, at most.
 FIT_ROWS = 2_000
-#: n-grams that the model keeps: those with the greatest chi-squared, down to CHI (but LEAST in any case), KEPT at most.
-KEPT, LEAST, CHI = 4_096, 256, 16.0
+#: What is tried: the least chi-squared of an n-gram that counts, and the penalty of weights; over so many folds of the examples.
+GRID, FOLDS = [(chi, penalty) for chi in (8.0, 16.0, 32.0) for penalty in (1e-3, 1e-4)], 3
 THRESHOLD = 0.7
 _STEP = 1 << 20
 
@@ -57,7 +58,7 @@ class Model:
         seen = np.zeros(len(self.weights), bool)
         for buckets in gram_buckets(text):
             seen[self.slot[buckets]] = True
-        return float(1 / (1 + np.exp(-np.clip(self.weights @ seen + self.bias, -40, 40))))
+        return float(1 / (1 + np.exp(-np.clip(self.weights[np.flatnonzero(seen)].sum() + self.bias, -40, 40))))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +82,8 @@ def _held(slot: np.ndarray, kept: int):
                 seen = np.zeros(kept + 1, bool)
                 for buckets in gram_buckets(text):
                     seen[slot[buckets]] = True
-                rows.append(np.flatnonzero(seen[:kept]).astype(np.int16))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int16()))], ["doc_id", "label", "features"])
+                rows.append(np.flatnonzero(seen[:kept]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "features"])
 
     return held
 
@@ -91,7 +92,87 @@ def _prior(toxic: float, clean: float, buckets: int = 1 << BITS) -> Model:
     return Model(np.zeros(buckets, np.int32), np.zeros(1), float(np.log((toxic + 1) / (clean + 1))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, kept: int = KEPT, penalty: float = 1e-4) -> Model:
+@dataclass(frozen=True)
+class Examples:
+    """Labelled texts as places of their features: entry e says that text row[e] holds feature column[e]."""
+
+    row: np.ndarray
+    column: np.ndarray
+    label: np.ndarray
+    share: np.ndarray
+    width: int
+
+    def only(self, rows: np.ndarray) -> Examples:
+        number = np.full(len(self.label), -1)
+        number[rows] = np.arange(len(rows))
+        kept = number[self.row] >= 0
+        return Examples(number[self.row[kept]], self.column[kept], self.label[rows], self.share[rows] / self.share[rows].sum(), self.width)
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many toxic and how many clean texts hold each feature."""
+        toxic = self.label[self.row]
+        return np.bincount(self.column, weights=toxic, minlength=self.width), np.bincount(self.column, weights=1 - toxic, minlength=self.width)
+
+    def margin(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return np.bincount(self.row, weights=weights[self.column], minlength=len(self.label)) + bias
+
+    def loss(self, margin: np.ndarray) -> float:
+        return float(self.share @ (np.logaddexp(0, margin) - self.label * margin))
+
+
+def log_ratio(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """The naive Bayes log-count ratio of each feature, by add-one frequencies."""
+    return np.log((toxic + 1) / (toxic + 1).sum()) - np.log((clean + 1) / (clean + 1).sum())
+
+
+def chi_squared(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Of holding a feature and being toxic; 0 for a feature of one text."""
+    held, n = toxic + clean, n_toxic + n_clean
+    chi = (toxic * (n_clean - clean) - clean * (n_toxic - toxic)) ** 2 * n / (n_toxic * n_clean * held * (n - held) + 1e-9)
+    return np.where(held >= 2, chi, 0.0)
+
+
+def learn(examples: Examples, ratio: np.ndarray, least_chi: float, penalty: float, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights of the features (0 where chi-squared is less) and the bias, by penalised logistic regression on ratio times presence."""
+    toxic, clean = examples.held()
+    kept = chi_squared(toxic, clean, int(examples.label.sum()), int((1 - examples.label).sum())) >= least_chi
+    place = np.cumsum(kept) - 1
+    inside = kept[examples.column]
+    row, column, own = examples.row[inside], place[examples.column[inside]], ratio[kept]
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        margin = np.bincount(row, weights=(x[:-1] * own)[column], minlength=len(examples.label)) + x[-1]
+        off = examples.share * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - examples.label)
+        grad = np.bincount(column, weights=off[row], minlength=len(own)) * own + penalty * x[:-1]
+        return examples.loss(margin) + penalty / 2 * x[:-1] @ x[:-1], np.append(grad, off.sum())
+
+    rate = np.clip(examples.share @ examples.label, 1e-6, 1 - 1e-6)
+    x = minimise(loss, np.append(np.zeros(len(own)), np.log(rate / (1 - rate))), steps=steps)
+    weights = np.zeros(examples.width)
+    weights[kept] = x[:-1] * own
+    return weights, float(x[-1])
+
+
+def choose(examples: Examples, ratio: np.ndarray, grid: list[tuple[float, float]] = GRID, folds: int = FOLDS, threshold: float = THRESHOLD) -> tuple[float, float]:
+    """The entry of the grid with the fewest wrong decisions at the threshold on examples that it was not fitted on, then the least loss.
+
+    The first one where a fold lacks a class.
+    """
+    fold = np.arange(len(examples.label)) % folds
+    parts = [(examples.only(np.flatnonzero(fold != k)), examples.only(np.flatnonzero(fold == k))) for k in range(folds)]
+    if any(len(set(fitted.label)) < 2 or not len(rest.label) for fitted, rest in parts):
+        return grid[0]
+    least = np.log(threshold / (1 - threshold))
+
+    def missed(chi: float, penalty: float) -> tuple[float, float]:
+        margins = [(rest, rest.margin(*learn(fitted, log_ratio(*fitted.held()), chi, penalty, 20))) for fitted, rest in parts]
+        wrong = sum(float(rest.share @ ((margin >= least) != rest.label)) for rest, margin in margins)
+        return round(wrong, 9), sum(rest.loss(margin) for rest, margin in margins)
+
+    return min(grid, key=lambda at: missed(*at))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grid: list[tuple[float, float]] = GRID) -> Model:
     """Learn from ``labels(doc_id, toxic)`` and ``docs(doc_id, text)``.
 
     Rows without doc_id or with a label other than 0 and 1 don't count; a document labelled both ways is
@@ -113,34 +194,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, kept: int
         return _prior(toxic, clean)
     counts = counts.sort_values("bucket")
     a, b = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
-    na, nb = sizes[1], sizes[0]
-    ratio = np.log((a + 1) / (a + 1).sum()) - np.log((b + 1) / (b + 1).sum())
-    n, held = na + nb, a + b
-    chi = (a * (nb - b) - b * (na - a)) ** 2 * n / np.maximum(1e-9, na * nb * held * (n - held) + 1e-9)
-    chi = np.where(held >= 2, chi, 0)
-    best = np.sort(np.lexsort((counts["bucket"].to_numpy(), -chi))[: min(kept, max(LEAST, int((chi >= CHI).sum())))])
+    best = np.flatnonzero(chi_squared(a, b, sizes[1], sizes[0]) >= min(chi for chi, _ in grid))
     slot = np.full(1 << BITS, len(best), np.int32)
     slot[counts["bucket"].to_numpy()[best]] = np.arange(len(best), dtype=np.int32)
-    ratio = ratio[best]
-    table = examples.mapInArrow(_held(slot, len(best)), "doc_id bigint, label int, features array<smallint>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    table = examples.mapInArrow(_held(slot, len(best)), "doc_id bigint, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     features = table.column("features").combine_chunks()
     lengths = features.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    columns, y = features.flatten().to_numpy().astype(np.int32), table.column("label").to_numpy().astype(float)
-    rows = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
-    share = np.where(y == 1, toxic / na, clean / nb)
-    share /= share.sum()
-
-    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w = x[:-1] * ratio
-        margin = np.bincount(rows, weights=w[columns], minlength=len(y)) + x[-1]
-        p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-        value = share @ (np.logaddexp(0, margin) - y * margin) + penalty / 2 * x[:-1] @ x[:-1]
-        off = share * (p - y)
-        grad = np.bincount(columns, weights=off[rows], minlength=len(ratio)) * ratio + penalty * x[:-1]
-        return value, np.append(grad, off.sum())
-
-    x = minimise(loss, np.append(np.zeros(len(ratio)), np.log(toxic / clean)), steps=60)
-    return Model(slot, np.append(x[:-1] * ratio, 0.0).astype(np.float64), float(x[-1]))
+    label = table.column("label").to_numpy().astype(float)
+    share = np.where(label == 1, toxic / sizes[1], clean / sizes[0])
+    all_examples = Examples(np.repeat(np.arange(len(label)), lengths), features.flatten().to_numpy().astype(np.int64), label, share / share.sum(), len(best))
+    ratio = log_ratio(a, b)[best]
+    weights, bias = learn(all_examples, ratio, *choose(all_examples, ratio, grid))
+    return Model(slot, np.append(weights, 0.0), bias)
 
 
 def score_column(model: Model):
@@ -161,7 +226,10 @@ def crc_of(column: str, divisor: int):
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` of each row; null or empty texts get the model's bias, repeated rows the same score."""
+    """``doc_id, score, predicted`` of each row; null or empty texts get the model's bias, repeated rows the same score.
+
+    Texts of any length are read whole; an empty table gives an empty result; a score that equals the threshold counts as toxic; other columns are ignored.
+    """
     scored = docs.select("doc_id", score_column(model)(whole_text(F.col("text"))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
