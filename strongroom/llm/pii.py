@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a linear-chain CRF over word shapes that adds to them.
 
 The patterns (e-mail, IP, payment card, phone) give the base spans.  The CRF reads words between ASCII
-white space as shape features, and is trained on a small labelled table by maximum likelihood.  A word without a
+white space as shape features, and is trained on a small labelled table by maximum likelihood.  A word of over 64 characters (text
+without spaces, minified code) is read as its parts: runs of ASCII letters, digits and ``. _ % + - @ / ( )``, runs of other ASCII marks, and runs of the rest.  A word without a
 digit or @ is plain, and the model allows it no tag but O; so plain words part the text into stretches
 of other words, whose best paths don't depend on each other, and Viterbi decodes the stretches in numpy batches.  Spans that the CRF finds beside the base spans are added;
 base spans never change.  Offsets are code points, the end exclusive.
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HIT = re.compile(r"[0-9@]")
 _SPACE = " \t\n\v\f\r"
 _WORD = re.compile(r"[^ \t\n\v\f\r]+")
+#: Characters of a word that is read as one, at most; and the parts of a longer one.
+WHOLE = 64
+_PART = re.compile(r"[A-Za-z0-9._%+@/()-]+|[^\x00-\x7f]+|[^A-Za-z0-9._%+@/()\x80-\U0010ffff-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +91,7 @@ def shape(word: str) -> str:
     """Runs of a kind as one letter; digits with their number up to 5, then 6+."""
     s, e = core(word)
     out = []
-    for run in _RUNS.findall(word[s : min(e, s + 64)]):
+    for run in _RUNS.findall(word[s:e]):
         c = run[0]
         if "0" <= c <= "9":
             out.append(f"d{min(len(run), 6)}")
@@ -94,7 +100,7 @@ def shape(word: str) -> str:
                 out.append("x")
         else:
             out.append(c)
-    return "".join(out[:24])
+    return "".join(out)
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -103,9 +109,9 @@ def features(word: str) -> tuple[str, ...]:
         return ("plain",)
     s, e = core(word)
     body = word[s:e]
-    digits = re.sub("[^0-9]", "", body[:64])
-    marks = "".join(sorted({c for c in body[:64] if not c.isalnum()}))
-    found = ["rich", f"shape={shape(word)}", f"marks={marks}", f"digits={min(len(digits), 20)}", f"letters={any(c.isalpha() for c in body[:64])}"]
+    digits = re.sub("[^0-9]", "", body)
+    marks = "".join(sorted({c for c in body if not c.isalnum()}))
+    found = ["rich", f"shape={shape(word)}", f"marks={marks}", f"digits={min(len(digits), 20)}", f"letters={any(c.isalpha() for c in body)}"]
     if 14 <= len(digits) <= 19:
         found.append(f"luhn={luhn(digits)}")
     parts = body.split(".")
@@ -146,7 +152,7 @@ def _example(r: random.Random, kind: str) -> list[str]:
     return [r.choice([_luhn_number(r, 16, False), n(r.randint(1, 12)), hexed(r.choice([8, 32, 40])), f"{n(2)}.{n(2)}", f"{n(1)}.{n(1)}.{n(1)}", f"{r.randint(256, 999)}.{n(3)}.{n(2)}.{n(3)}", f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}:{n(2)}", f"v{n(1)}.{n(2)}", f"{n(1)},{n(3)}", f"#{n(3)}", f"{name()}{n(2)}", f"@{name()}", f'"{hexed(40)}"', f"{n(2)}%", f"${n(3)}.{n(2)}"])]
 
 
-def labelled_rows(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
+def labelled_rows(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
     """(text, tags of its words): words made by rule, some of them personal data, some alike.  Tags: O, B-kind, I-kind."""
     r, rows = random.Random(seed), []
     for _ in range(n):
@@ -174,6 +180,10 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 
 # --- the CRF
 
+#: Words that are decoded together, at most; a longer stretch is decoded by itself, in 13 bytes a word.
+DECODED = 1 << 17
+#: Digits that an added span of a kind may have: a run of numbers in a table is none.
+DIGITS = {"phone": range(7, 16), "card": range(12, 20)}
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _WHERE = ("<", "", ">")  # of the word before, the word, the word after
 
@@ -196,30 +206,39 @@ class Crf:
         return e
 
     def decode(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tags of each stretch between words outside, in batches of like length."""
+        """The best tags of each stretch of emissions between words outside."""
+        table = np.concatenate([np.zeros((0, len(TAGS))), *stretches])
+        ends = np.cumsum([len(x) for x in stretches]).tolist()
+        return self.paths(table, [np.arange(e - len(x), e) for e, x in zip(ends, stretches, strict=True)])
+
+    def paths(self, table: np.ndarray, stretches: list[np.ndarray]) -> list[np.ndarray]:
+        """The same of stretches that are given as rows of a table of emissions, in batches of like length and at most DECODED words (or one stretch)."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(stretches)
         order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
         at = 0
         while at < len(order):
-            longest = len(stretches[order[at]]) * 2 + 8
-            take = [i for i in order[at : at + 512] if len(stretches[i]) <= longest]
+            take, first = [order[at]], len(stretches[order[at]])
+            for i in order[at + 1 : at + 512]:
+                if len(stretches[i]) > 2 * first + 8 or (len(take) + 1) * len(stretches[i]) > DECODED:
+                    break
+                take.append(i)
             at += len(take)
             lengths = np.array([len(stretches[i]) for i in take])
-            e = np.zeros((len(take), lengths.max(), len(TAGS)))
+            own = np.zeros((len(take), lengths.max()), np.int32)
             for k, i in enumerate(take):
-                e[k, : lengths[k]] = stretches[i]
-            best = e[:, 0] + self.move[0]
-            back = np.zeros(e.shape, np.int8)
+                own[k, : lengths[k]] = stretches[i]
+            best = table[own[:, 0]] + self.move[0]
+            back = np.zeros((*own.shape, len(TAGS)), np.int8)
             final = best.copy()
-            for t in range(1, e.shape[1]):
+            for t in range(1, own.shape[1]):
                 through = best[:, :, None] + self.move
                 back[:, t] = through.argmax(axis=1)
-                best = through.max(axis=1) + e[:, t]
+                best = through.max(axis=1) + table[own[:, t]]
                 final[lengths > t] = best[lengths > t]
             final = final + self.move[:, 0]
             tag = final.argmax(axis=1)
-            path = np.zeros(e.shape[:2], np.int8)
-            for t in range(e.shape[1] - 1, -1, -1):
+            path = np.zeros(own.shape, np.int8)
+            for t in range(own.shape[1] - 1, -1, -1):
                 on = lengths > t
                 path[on, t] = tag[on]
                 tag = np.where(on, back[np.arange(len(take)), t, tag], tag)
@@ -289,7 +308,7 @@ def train(labelled: DataFrame, rows: int = 5_000, penalty: float = 0.05) -> Crf:
         value = total.sum() - gold_score + penalty / 2 * x @ x
         return value, np.concatenate((grad.ravel(), grad_move.ravel())) + penalty * x
 
-    x = minimise(loss, np.zeros(len(names) * tags + tags * tags), steps=30, tolerance=1e-4)
+    x = minimise(loss, np.zeros(len(names) * tags + tags * tags), steps=60, tolerance=1e-5)
     crf = Crf(index, x[: -tags * tags].reshape(-1, tags), x[-tags * tags :].reshape(tags, tags) + allowed)
     return crf
 
@@ -298,39 +317,50 @@ def train(labelled: DataFrame, rows: int = 5_000, penalty: float = 0.05) -> Crf:
 
 
 def _stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring words that have a digit or @."""
+    """Runs of neighbouring words, or parts of long words, that have a digit or @."""
     runs: list[list[tuple[int, int]]] = []
     done = 0
     hit = _HIT.search(text)
     while hit:
-        start = max(text.rfind(c, done, hit.start()) for c in _SPACE) + 1 or done
+        start = max(max(text.rfind(c, done, hit.start()) for c in _SPACE) + 1, done)
         end = _WORD.match(text, hit.start()).end()
-        if not runs or text[done:start].strip(_SPACE):
+        apart = not runs or bool(text[done:start].strip(_SPACE))
+        for s, e in [(start, end)] if end - start <= WHOLE else (m.span() for m in _PART.finditer(text, start, end)):
+            if end - start > WHOLE and not _HIT.search(text, s, e):
+                apart = True  # a plain part
+                continue
+            if apart:
+                runs.append([])
+            runs[-1].append((s, e))
+            apart = False
+        if apart and runs:
             runs.append([])
-        runs[-1].append((start, end))
         done = end
         hit = _HIT.search(text, end)
-    return runs
+    return [r for r in runs if r]
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], crf: Crf) -> list[list[tuple[str, int, int]]]:
     """What the CRF finds in each text, without what overlaps a base span."""
     places: list[tuple[int, list[tuple[int, int]]]] = []
-    cache: dict[tuple, np.ndarray] = {}
-    scores = []
+    known: dict[tuple, int] = {}
+    emissions, stretches = [], []
     for k, text in enumerate(texts):
         for run in _stretches(text):
-            own = [("plain",), *(features(text[s:e]) for s, e in run), ("plain",)]
-            e = []
+            own, rows = [("plain",), *(features(text[s:e]) for s, e in run), ("plain",)], []
             for i in range(1, len(own) - 1):
                 key = (own[i - 1], own[i], own[i + 1])
-                if key not in cache:
-                    cache[key] = crf._emit(*key)
-                e.append(cache[key])
+                if key not in known:
+                    known[key] = len(emissions)
+                    emissions.append(crf._emit(*key))
+                rows.append(known[key])
             places.append((k, run))
-            scores.append(np.array(e))
+            stretches.append(np.array(rows, np.int32))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (k, run), path in zip(places, crf.decode(scores), strict=True):
+    # Of base spans by start, how far those up to here reach.
+    starts = [[s for _, s, _ in base] for base in bases]
+    reach = [list(accumulate((e for _, _, e in base), max)) for base in bases]
+    for (k, run), path in zip(places, crf.paths(np.array(emissions), stretches) if places else [], strict=True):
         text, i = texts[k], 0
         while i < len(run):
             tag = TAGS[path[i]]
@@ -342,7 +372,9 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], crf:
                 j += 1
             start = run[i][0] + core(text[slice(*run[i])])[0]
             end = run[j - 1][0] + core(text[slice(*run[j - 1])])[1]
-            if start < end and not any(s < end and start < e for _, s, e in bases[k]):
+            before = bisect_left(starts[k], end)
+            plausible = sum("0" <= c <= "9" for c in text[start:end]) in DIGITS.get(tag[2:], range(end - start + 1))
+            if start < end and plausible and not (before and reach[k][before - 1] > start):
                 out[k].append((tag[2:], start, end))
             i = j
     return out
@@ -393,7 +425,11 @@ def masked_column(crf: Crf):
 
 
 def find(docs: DataFrame, crf: Crf) -> DataFrame:
-    """``doc_id, spans`` of each row; a null text has none, repeated rows have the same."""
+    """``doc_id, spans`` of each row; a null or empty text has none, repeated rows have the same.
+
+    Texts and words of any length are read whole.  Of two best paths the one with the earlier tag of TAGS counts; spans with equal starts
+    are in the order of KINDS.  An empty table gives an empty result; columns other than doc_id and text are ignored.
+    """
     return docs.select("doc_id", spans_column(crf)(whole_text(F.col("text"))).alias("spans"))
 
 
