@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,25 +48,21 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def mapped(fn: Callable[[str], object]) -> Callable[[pd.Series], pd.Series]:
-    """A series function that applies fn to each text."""
-
-    def over(texts: pd.Series) -> pd.Series:
-        return pd.Series([fn(t) for t in texts], index=texts.index)
-
-    return over
+def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds ``rank``, from 0 in this order: a distributed sort, then a count for each partition, which is all that reaches the driver."""
+    id_name = fresh_name(rows, "id")
+    ordered = checkpoint(rows.orderBy(*order).withColumn(id_name, F.monotonically_increasing_id()))
+    partition = F.shiftright(id_name, 33)
+    counts = {r["p"]: r["n"] for r in ordered.groupBy(partition.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, so_far = [], 0
+    for p in sorted(counts):
+        before += [F.lit(p), F.lit(so_far)]
+        so_far += counts[p]
+    if not before:
+        return ordered.withColumn("rank", F.lit(0).cast("long")).drop(id_name)
+    offset = F.element_at(F.create_map(*before), partition.cast("int"))
+    return ordered.withColumn("rank", (offset + F.col(id_name).bitwiseAND((1 << 33) - 1)).cast("long")).drop(id_name)
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
-def slices(seq: Iterable, size: int) -> Iterator[list]:
-    part: list = []
-    for x in seq:
-        part.append(x)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strongroom.llm._common import checkpoint, fresh_name, whole_text
+from strongroom.llm._common import checkpoint, fresh_name, ranked, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -37,21 +37,6 @@ def _place(doc_id: Column, size: Column, seed: int) -> Column:
     return F.concat(_hash(doc_id, seed), F.lpad(size.cast("string"), 12, "0"))
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """Adds ``rank`` from 0 by source, null last: a distributed sort, then a count for each partition."""
-    ordered = checkpoint(sources.orderBy(F.col("source").isNull(), "source").withColumn("id", F.monotonically_increasing_id()))
-    partition = F.shiftright("id", 33)
-    counts = {r["p"]: r["n"] for r in ordered.groupBy(partition.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, so_far = [], 0
-    for p in sorted(counts):
-        before += [F.lit(p), F.lit(so_far)]
-        so_far += counts[p]
-    if not before:
-        return ordered.withColumn("rank", F.lit(0).cast("long")).drop("id")
-    offset = F.element_at(F.create_map(*before), partition.cast("int"))
-    return ordered.withColumn("rank", offset + F.col("id").bitwiseAND((1 << 33) - 1)).drop("id")
-
-
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """``source, source_size, target`` from ``sizes(source, size)``.
 
@@ -60,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    table = _ranked(per_source).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(epochs)).alias("cap"))
+    table = ranked(per_source, F.col("source").isNull(), "source").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(epochs)).alias("cap"))
     table = checkpoint(table.withColumn("ratio", F.col("cap") / F.col("weight")))
     level, clamped = 0.0, -1
     while True:

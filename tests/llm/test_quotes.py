@@ -43,7 +43,27 @@ def plain(messages):
             out.append((conv, turn, copy, role, body, len(quotes), len(links), *parent, position))
             parts = {normal(x) for x in [*body.split("\n"), *re.split(r"\n[ \t]*\n\s*", body)]} - {""}
             done.append((turn, copy, normal(body), parts))
-    return sorted(out, key=str)
+    return sorted(in_reply_order(out), key=str)
+
+
+def in_reply_order(out):
+    """The rows with their place when each message is followed by its replies by turn, each with all that answers it."""
+    below, first = {}, []
+    for row in sorted(out, key=lambda r: r[-1]):
+        of = (row[0], row[7], row[8])
+        if row[-1]:
+            below.setdefault(of, []).append(row)
+        else:
+            first.append(row)
+    done = []
+    for root in first:
+        stack, place = [root], 0
+        while stack:
+            row = stack.pop()
+            done.append((*row, place))
+            place += 1
+            stack += reversed(below.get(row[:3], []))
+    return done
 
 
 def threads(seed, n):
@@ -92,3 +112,32 @@ def test_against_sql(spark):
 
 def test_empty(spark):
     assert Q.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def quoting(parents):
+    """Messages that each quote all of another one, or nothing."""
+    return [(1, i, "user", ("" if p is None else f"> say {p}\n") + f"say {i}") for i, p in enumerate(parents)]
+
+
+@pytest.mark.parametrize("width,kind", [(4, "star"), (1024, "two chains"), (4, "comb"), (4, "random"), (1024, "back")])
+def test_reply_order_of_deep_and_wide_trees(spark, monkeypatch, width, kind):
+    monkeypatch.setattr(Q, "RANGE", width)
+    r, n = random.Random(7), 60
+    parents = {
+        "star": [None] + [0] * n, "two chains": [None, 0] + list(range(n)), "comb": [None] + [x for i in range(n // 2) for x in (2 * i, 2 * i)][: n],
+        "random": [None] + [r.choice([None, r.randrange(i)]) for i in range(1, n)], "back": [None] * (n // 2) + list(range(n // 2 - 1, -1, -1)),
+    }[kind]
+    rows = quoting(parents)
+    got = sorted((tuple(x) for x in Q.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    assert got == plain(rows)
+    order = sorted(got, key=lambda x: x[-1])
+    assert [x[-1] for x in order] == list(range(len(rows)))
+
+
+def test_very_long_messages_and_clashes(spark):
+    long = "\n".join(f"line {i} of many" for i in range(20_000))
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "> line 777 of many\nyes"), (1, 2, "user", "\n".join("> " + x for x in long.split("\n")) + "\nall"), (1, 3, "assistant", "> yes\nok")]
+    docs = spark.createDataFrame([(*r, 1, "c", 2, 3) for r in rows], "conv_id long, turn long, role string, text string, copy int, c string, position int, parent int")
+    got = sorted(Q.conversations(docs).collect(), key=lambda r: r.turn)
+    assert [(r.parent_turn, r.n_linked, r.reply_position) for r in got] == [(None, 0, 0), (0, 1, 1), (0, 1, 3), (1, 1, 2)]
+    assert got[0].body == long
