@@ -53,9 +53,9 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             for r in v.list_file_info().orderBy("name").toLocalIterator():
                 print(r["name"], r["size"], r["storage_used"], sep="\t")
         elif a.verb == "extract":
-            data = v.get(a.name)
             with open(f"{a.dest}.part", "wb") as file:
-                file.write(data)
+                for window in v.read_windows(a.name):
+                    file.write(window)
             os.replace(f"{a.dest}.part", a.dest)
         elif a.verb == "delete":
             v.delete(a.name)
