@@ -39,9 +39,9 @@ CHUNK = 1 << 15
 FAN = 64
 MARK = "▁"
 #: Words that are kept between batches, and neighbours whose joining is known, about.
-_CACHE, _PAIRS = 1 << 19, 1 << 19
+_CACHE, _PAIRS = 1 << 18, 1 << 18
 #: Bytes of text that are encoded together, about.
-_BATCH = 1 << 22
+_BATCH = 1 << 20
 #: Words of more bytes go through the lattice one by one; others so many together.
 _WIDE, _TOGETHER = 48, 1 << 14
 #: The place of an unknown character and of a text's start among pieces.
@@ -81,7 +81,7 @@ class Numbers:
         if 2 * (self.size + len(keys)) > 1 << self.bits:
             old = self.keys >= 0
             keys, values = np.concatenate((self.keys[old], keys)), np.concatenate((self.values[old], values))
-            self._clear(4 * len(keys))
+            self._clear(3 * len(keys))
         self.size += len(keys)
         at = self._slots(keys)
         while len(keys):
