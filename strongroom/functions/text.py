@@ -7,6 +7,8 @@ import secrets
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strongroom.model import MAGIC
+
 # Error codes of the wire format and the classes of a password's characters.
 ERRORS = {
     "UNSPECIFIED": 0, "WRONG_PASSWORD": 1, "NOT_FOUND": 2, "ALREADY_EXISTS": 3, "CRYPTO": 4,
@@ -43,6 +45,22 @@ def memory_mib(text: Column) -> Column:
     return F.when(text.isin(*MEMORY), text.cast("int"))
 
 
+def memory_mib_or_fail(text: Column) -> Column:
+    """128, 256 or 512; anything else fails the query."""
+    return F.when(text.isin(*MEMORY), text.cast("int")).otherwise(F.raise_error(F.concat(F.lit("memory is 128, 256 or 512 MiB, not "), F.coalesce(text, F.lit("null")))).cast("int"))
+
+
+def error_code(kind: Column, opening: Column) -> Column:
+    """The wire code of a kind of ERRORS; what doesn't authenticate while opening means a wrong password, an unknown kind is internal."""
+    code = F.element_at(F.create_map(*(F.lit(x) for item in ERRORS.items() for x in item)), kind)
+    return F.when(opening & (kind == "CRYPTO"), F.lit(ERRORS["WRONG_PASSWORD"])).otherwise(F.coalesce(code, F.lit(ERRORS["INTERNAL"])))
+
+
+def has_magic(content: Column) -> Column:
+    """Whether bytes begin as a container does."""
+    return F.coalesce(F.substring(content, 1, len(MAGIC)) == F.lit(MAGIC), F.lit(False))
+
+
 def seconds_or_null(seconds: Column) -> Column:
     """Seconds since 1970; zero or less is unknown."""
     return F.when(seconds > 0, seconds)

@@ -178,10 +178,9 @@ class Vault:
     def verify(self) -> None:
         """Fails unless the listing is the one that was sealed: its count, its digest and its generation under the vault's key."""
         seal = self._seal()
-        found = self._digest(self._rows(), seal["rows"])
-        for name in ("generation", "rows", "stored", "digest"):
-            if str(found.get(name, seal[name])) != str(seal[name]):
-                raise Corrupt(f"the listing of generation {self.generation} is not the sealed one ({name})")
+        found = self._digest(self._rows())
+        if any(found[name] != seal[name] for name in ("rows", "digest")):
+            raise Corrupt(f"the listing of generation {self.generation} is not the sealed one")
 
     def change_password(self, password: str, params: KdfParams | None = None) -> None:
         """Wraps the master key anew; contents and generation stay, the old password no longer opens."""
@@ -434,15 +433,15 @@ class Vault:
     def _publish(self, rows: DataFrame, g: int, stored: int) -> None:
         rows.select(*FILES.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/files/gen={g}")
         listing = self.spark.read.schema(FILES).parquet(f"{self.path}/files/gen={g}")
-        seal = {"generation": g, "stored": stored} | self._digest(listing, listing.count())
+        seal = {"generation": g, "stored": stored} | self._digest(listing)
         seal["mac"] = self._mac_of(seal)
         self.spark.createDataFrame([tuple(seal[c] for c in SEAL)], "generation long, rows long, stored long, digest string, mac string").coalesce(1).write.mode("overwrite").json(f"{self.path}/seals/gen={g}")
         listing.write.mode("overwrite").parquet(f"{self.path}/mirror/gen={g}")
 
-    def _digest(self, rows: DataFrame, count: int) -> dict:
+    def _digest(self, rows: DataFrame) -> dict:
         values = [F.hex(c) if c == "name_enc" else F.col(c) for c in FILES.fieldNames()]
         macs = rows.select(row_mac(lambda x: hmac256(self._seal_key, x), *values).alias("mac"))
-        return table_digest(macs, "mac", count).first().asDict()
+        return table_digest(macs, "mac").first().asDict()
 
     def _mac_of(self, seal: dict) -> str:
         return hmac.new(self._seal_key, ":".join(str(seal[c]) for c in SEAL[:-1]).encode(), hashlib.sha512).hexdigest()

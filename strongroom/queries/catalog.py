@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strongroom.functions import keyed, layout, text
-from strongroom.model import CHUNK, COMPACT_RATIO, HEADER, MAX_CHUNKS, MAX_FILES, MAX_METADATA, OVERHEAD
+from strongroom.model import CHUNK, COMPACT_RATIO, HEADER, MAGIC, MAX_CHUNKS, MAX_FILES, MAX_METADATA, OVERHEAD
 from strongroom.operators import catalog_ops as ops
+from strongroom.operators.digest import table_digest
 from strongroom.operators.running import running_total
 from strongroom.sources.files import EPOCH, files, mutations
 
@@ -93,11 +94,17 @@ def lookup_join(spark, sf_dir):
     return ops.lookup(wanted, tokens, "token").select("doc_id", "name", "size", "token")
 
 
-@query("q_p4_find_by_name", "select p.page_id, q.first_page, q.n from pages p join (select url, min(page_id) as first_page, count(*) as n from pages group by url) q using (url)")
+@query("q_p4_find_by_name", """with w as (select page_id, case when page_id % 7 = 0 then url || '?' else url end as name from pages), q as (select url, min(page_id) as first_page, count(*) as n from pages group by url)
+  select w.page_id, q.first_page, coalesce(q.n, 0) as n from w left join q on q.url = w.name""")
 def find_by_name(spark, sf_dir):
+    """Pages asked for by the token of a name: the first of that name, or null if there is none (as for a seventh of them)."""
+    key = keyed.NameKey(TEST_KEY)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    firsts = pages.groupBy("url").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
-    return pages.join(firsts, "url").select("page_id", "first_page", "n")
+    stored = pages.select(F.col("page_id").alias("ordinal"), key.lookup(F.col("url")).alias("token"))
+    many = stored.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    asked = pages.select("page_id", key.lookup(F.when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("?"))).otherwise(F.col("url"))).alias("token"))
+    found = asked.join(ops.first_match(stored, "token"), "token", "left").join(many, "token", "left")
+    return found.select("page_id", F.col("ordinal").alias("first_page"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("q_p5_name_equals", f"with {_F} select ordinal, source = 'src0' and lang = 'en' as equal from f")
@@ -125,10 +132,12 @@ def unknown_ts(spark, sf_dir):
     return mutations(spark, sf_dir).select("event_id", text.seconds_or_null(F.col("size") - 5000).alias("seconds"))
 
 
-@query("q_s4_primary_usable", "select doc_id, hex(encode(text))[1:8] = '54686520' as usable from documents")
+@query("q_s4_primary_usable", f"select doc_id, hex(encode(case when doc_id % 2 = 0 then '{MAGIC.decode()}' || text else text end))[1:8] = '{MAGIC.hex().upper()}' as usable from documents")
 def primary_usable(spark, sf_dir):
-    """Whether the content begins with a magic of four bytes."""
-    return files(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), (F.substring("content", 1, 4) == F.lit(b"The ")).alias("usable"))
+    """Whether a stored file begins with the container's magic, which every second one is given."""
+    f = files(spark, sf_dir)
+    stored = F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit(MAGIC), "content")).otherwise(F.col("content"))
+    return f.select(F.col("ordinal").alias("doc_id"), text.has_magic(stored).alias("usable"))
 
 
 # --- layout
@@ -148,10 +157,12 @@ def chunk_refs(spark, sf_dir):
     return f.select("ordinal", F.col("idx").cast("long").alias("idx"), "ref.offset", "ref.len")
 
 
-@query("q_w7_last_chunk", f"with {_F} select ordinal, {_CHUNKED} - 1 as idx, size - ({_CHUNKED} - 1) * {SMALL} as plain_len from f where size > 0")
+@query("q_w7_last_chunk", f"with {_F} select ordinal, case when size > 0 then {_CHUNKED} - 1 end as idx, case when size > 0 then size - ({_CHUNKED} - 1) * {SMALL} end as plain_len from f")
 def last_chunk(spark, sf_dir):
-    refs = files(spark, sf_dir).select("ordinal", layout.chunk_refs(F.lit(0).cast("long"), F.col("size"), SMALL).alias("r")).where(F.size("r") > 0)
-    return refs.select("ordinal", (F.size("r") - 1).cast("long").alias("idx"), (F.element_at("r", -1)["len"] - OVERHEAD).alias("plain_len"))
+    """The last chunk and its length; an empty file has none."""
+    r = F.col("r")
+    refs = files(spark, sf_dir).select("ordinal", layout.chunk_refs(F.lit(0).cast("long"), F.col("size"), SMALL).alias("r"))
+    return refs.select("ordinal", F.when(F.size(r) > 0, F.size(r) - 1).cast("long").alias("idx"), (F.get(r, F.size(r) - 1)["len"] - OVERHEAD).alias("plain_len"))
 
 
 def _sized(spark, sf_dir) -> DataFrame:
@@ -222,9 +233,22 @@ def autocompact_trigger(spark, sf_dir):
     return _garbage(spark, sf_dir).select("source", (F.col("ratio") > COMPACT_RATIO).alias("compact"))
 
 
-@query("q_a5_info", f"with {_GARBAGE} select source, files, bytes as size_bytes, cast(garbage as bigint) as garbage_bytes, garbage / file_len as garbage_ratio, files > 0 as mirrored from k")
+@query("q_a5_info", f"""with {_GARBAGE}, x as (select source, count(*) = count(*) filter (where ordinal % 1000 <> 7) as mirrored from g group by source)
+  select k.source, files, bytes as size_bytes, cast(garbage as bigint) as garbage_bytes, garbage / file_len as garbage_ratio, mirrored from k join x on x.source = k.source""")
 def info(spark, sf_dir):
-    return _garbage(spark, sf_dir).select("source", "files", F.col("bytes").alias("size_bytes"), F.col("garbage").alias("garbage_bytes"), F.col("ratio").alias("garbage_ratio"), (F.col("files") > 0).alias("mirrored"))
+    """Figures of a vault for each source, whose mirror has lost the row of every thousandth file: it counts if its digest is the listing's."""
+    listing = _listing_macs(spark, sf_dir)
+    whole = table_digest(listing, "mac", ["source"]).select("source", "digest")
+    mirror = table_digest(listing.where("ordinal % 1000 <> 7"), "mac", ["source"]).select("source", F.col("digest").alias("mirror"))
+    same = whole.join(mirror, "source", "left").select("source", F.coalesce(F.col("digest") == F.col("mirror"), F.lit(False)).alias("mirrored"))
+    figures = _garbage(spark, sf_dir).select("source", "files", F.col("bytes").alias("size_bytes"), F.col("garbage").alias("garbage_bytes"), F.col("ratio").alias("garbage_ratio"))
+    return figures.join(same, "source")
+
+
+def _listing_macs(spark, sf_dir) -> DataFrame:
+    """source, ordinal, mac: a keyed hash of each row of the listing."""
+    row = F.concat_ws(":", "file_id", F.col("size").cast("string"))
+    return files(spark, sf_dir).select("source", "ordinal", F.lower(F.hex(keyed.hmac256(TEST_KEY, keyed.utf8(row)))).alias("mac"))
 
 
 @query("q_h23_ratio_text", f"with {_GARBAGE} select source, printf('%.1f', garbage / file_len * 100) || '%' as ratio from k")
@@ -272,9 +296,11 @@ def assembled(c: DataFrame, *keys: str) -> DataFrame:
     return c.groupBy(*keys).agg(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["plain"])).alias("content"))
 
 
-@query("q_s14_get_hash", f"with {_F} select ordinal, sha256(text) as sha from f where size > 0")
+@query("q_s14_get_hash", f"with {_F} select ordinal, sha256(text) as sha from f")
 def get_hash(spark, sf_dir):
-    return assembled(chunks(files(spark, sf_dir), SMALL), "ordinal").select("ordinal", F.sha2("content", 256).alias("sha"))
+    f = files(spark, sf_dir)
+    whole = f.select("ordinal").join(assembled(chunks(f, SMALL), "ordinal"), "ordinal", "left")
+    return whole.select("ordinal", F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("sha"))
 
 
 @query("q_s15_range_chunks", f"with {_F} select ordinal, i as idx from f, unnest(generate_series((size // 3) // {SMALL}, (least(size, size // 3 + 1500) - 1) // {SMALL})) as u(i) where size > 0")
@@ -283,15 +309,16 @@ def range_chunks(spark, sf_dir):
     return files(spark, sf_dir).select("ordinal", F.explode(layout.range_indices(F.col("size"), start, F.lit(1500), SMALL)).alias("idx"))
 
 
-@query("q_s15_range_bytes", "select doc_id, lower(hex(encode(text))[2 * 1017 + 1 : 2 * 1047]) as bytes, least(strlen(text), 1047) as ends from documents where strlen(text) > 1017")
+@query("q_s15_range_bytes", "select doc_id, coalesce(lower(hex(encode(text))[2 * 1017 + 1 : 2 * 1047]), '') as bytes, least(strlen(text), 1047) as ends from documents")
 def range_bytes(spark, sf_dir):
-    """Bytes 1,017 to 1,047, over the edge of two chunks: only these are assembled."""
-    f = files(spark, sf_dir).where(F.col("size") > 1017)
+    """Bytes 1,017 to 1,047, over the edge of two chunks: only these are assembled; a read behind the end is empty."""
+    f = files(spark, sf_dir)
     size, offset, length = F.col("size"), F.lit(1017), F.lit(30)
     touched = f.select("ordinal", "file_id", "content", "size", F.explode(layout.range_indices(size, offset, length, SMALL)).alias("chunk_idx"))
-    pieces = touched.select("ordinal", "size", "chunk_idx", F.substring(F.col("content"), (F.col("chunk_idx") * SMALL + 1).cast("int"), F.lit(SMALL)).alias("plain"))
-    whole = assembled(pieces, "ordinal", "size")
-    return whole.select(F.col("ordinal").alias("doc_id"), F.lower(F.hex(F.substring("content", 1018, 30))).alias("bytes"), layout.range_end(size, offset, length).cast("long").alias("ends"))
+    pieces = touched.select("ordinal", "chunk_idx", F.substring(F.col("content"), (F.col("chunk_idx") * SMALL + 1).cast("int"), F.lit(SMALL)).alias("plain"))
+    whole = f.select("ordinal", "size").join(assembled(pieces, "ordinal"), "ordinal", "left")
+    # What is assembled begins at the first touched chunk, which is the first of the file.
+    return whole.select(F.col("ordinal").alias("doc_id"), F.coalesce(F.lower(F.hex(F.substring("content", 1018, 30))), F.lit("")).alias("bytes"), layout.range_end(size, offset, length).cast("long").alias("ends"))
 
 
 @query("q_s25_read_windows", f"with {_F} select ordinal, i as start, least(size, i + 4096) as end_at from f, unnest(generate_series(0, size - 1, 4096)) as u(i)")
@@ -455,15 +482,13 @@ def subkey(spark, sf_dir):
     return files(spark, sf_dir).select("ordinal", F.lower(F.hex(keyed.subkey(TEST_KEY, "chunk", F.col("file_id"), F.col("ordinal")))).alias("subkey"))
 
 
-@query("q_a7_store_digest", f"""with {_F}, m as (select source, ordinal // 1000 as part, string_agg({_sql_hmac(TEST_KEY, "encode(file_id || ':' || size)")}, '' order by ordinal, file_id) as macs from f group by all)
-  select source, {_sql_hmac(TEST_KEY, "encode(string_agg(sha256(macs), '' order by part))")} as digest from m group by source""")
+@query("q_a7_store_digest", f"""with {_F}, m as (select source, {_sql_hmac(TEST_KEY, "encode(file_id || ':' || size)")} as mac, count(*) as n from f group by all),
+  a as (select source, mac[1:6] as p, sha256(string_agg(mac || ':' || n, ',' order by mac)) as s from m group by all), b as (select source, p[1:3] as q, sha256(string_agg(p || ':' || s, ',' order by p)) as s from a group by all)
+  select source, {_sql_hmac(TEST_KEY, "encode(sha256(string_agg(q || ':' || s, ',' order by q)))")} as digest from b group by source""")
 def store_digest(spark, sf_dir):
-    """A keyed digest of each source's listing: rows, then parts of 1,000 ordinals, then the source."""
-    f = files(spark, sf_dir).select("source", "ordinal", "file_id", F.lower(F.hex(keyed.hmac256(TEST_KEY, keyed.utf8(F.concat_ws(":", "file_id", F.col("size").cast("string")))))).alias("mac"))
-    ordered = lambda *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by))), lambda x: x[by[-1]]), "")
-    parts = f.groupBy("source", F.expr("ordinal div 1000").alias("part")).agg(F.sha2(ordered("ordinal", "file_id", "mac"), 256).alias("sha"))
-    whole = parts.groupBy("source").agg(ordered("part", "sha").alias("all"))
-    return whole.select("source", F.lower(F.hex(keyed.hmac256(TEST_KEY, keyed.utf8(F.col("all"))))).alias("digest"))
+    """A keyed digest of each source's listing, by a tree over the hashes of its rows."""
+    whole = table_digest(_listing_macs(spark, sf_dir), "mac", ["source"])
+    return whole.select("source", F.lower(F.hex(keyed.hmac256(TEST_KEY, keyed.utf8(F.col("digest"))))).alias("digest"))
 
 
 @query("q_h12_name_roundtrip", f"with {_F} select ordinal, name as opened, {OVERHEAD} + strlen(name) as sealed_len, false as opens_elsewhere from f")
@@ -473,27 +498,31 @@ def name_roundtrip(spark, sf_dir):
     return f.select("ordinal", key.open(F.col("sealed"), F.lit("vault")).alias("opened"), F.octet_length("sealed").cast("long").alias("sealed_len"), key.open(F.col("sealed"), F.lit("other")).isNotNull().alias("opens_elsewhere"))
 
 
-def _sealed(f: DataFrame, key: keyed.ContentKey) -> DataFrame:
-    return chunks(f).withColumn("sealed", key.seal(F.col("plain"), F.col("file_id"), F.col("chunk_idx"), F.lit(1).cast("long")))
+def _sealed(f: DataFrame, key: keyed.ContentKey, size: int = CHUNK) -> DataFrame:
+    return chunks(f, size).withColumn("sealed", key.seal(F.col("plain"), F.col("file_id"), F.col("chunk_idx"), F.lit(1).cast("long")))
 
 
-def _roundtrip(f: DataFrame) -> DataFrame:
+def _roundtrip(f: DataFrame, size: int) -> DataFrame:
     key = keyed.ContentKey(TEST_KEY)
-    s = _sealed(f, key)
+    s = _sealed(f, key, size)
     opened = key.open(F.col("sealed"), F.col("file_id"), F.col("chunk_idx"), F.lit(1).cast("long"))
     return s.select("ordinal", F.col("chunk_idx").alias("idx"), F.sha2(opened, 256).alias("sha"), F.octet_length("sealed").cast("long").alias("sealed_len"))
 
 
-@query("q_h13_seal_roundtrip", f"with {_F} select ordinal, i as idx, sha256(encode(text)) as sha, least({CHUNK}, size - i * {CHUNK}) + {OVERHEAD} as sealed_len from f, unnest(generate_series(0, (size - 1) // {CHUNK})) as u(i) where size between 1 and {CHUNK}")
+def _sql_roundtrip(size: int) -> str:
+    return f"with {_F} select ordinal, i as idx, sha256(unhex(substr(hex(encode(text)), 2 * {size} * i + 1, 2 * {size}))) as sha, least({size}, size - i * {size}) + {OVERHEAD} as sealed_len from f, unnest(generate_series(0, (size - 1) // {size})) as u(i) where size > 0"
+
+
+@query("q_h13_seal_roundtrip", _sql_roundtrip(SMALL))
 def seal_roundtrip(spark, sf_dir):
-    """Sealed and opened: the hash of what comes back, for files of one chunk."""
-    return _roundtrip(files(spark, sf_dir).where(F.col("size").between(1, CHUNK)))
+    """Sealed and opened in small chunks: the hash of what comes back, for each chunk of all files."""
+    return _roundtrip(files(spark, sf_dir), SMALL)
 
 
-@query("q_h13_seal_roundtrip_all", f"with {_F} select ordinal, i as idx, sha256(unhex(substr(hex(encode(text)), 2 * {CHUNK} * i + 1, 2 * {CHUNK}))) as sha, least({CHUNK}, size - i * {CHUNK}) + {OVERHEAD} as sealed_len from f, unnest(generate_series(0, (size - 1) // {CHUNK})) as u(i) where size > 0")
+@query("q_h13_seal_roundtrip_all", _sql_roundtrip(CHUNK))
 def seal_roundtrip_all(spark, sf_dir):
-    """Sealed and opened: the hash of what comes back, for each chunk of all files."""
-    return _roundtrip(files(spark, sf_dir))
+    """The same in chunks of the stored size."""
+    return _roundtrip(files(spark, sf_dir), CHUNK)
 
 
 @query("q_tamper_detect", f"with {_F} select ordinal, i as idx, true as opens, false as other_index, false as other_version, false as changed from f, unnest(generate_series(0, (size - 1) // {CHUNK})) as u(i) where size > 0")
@@ -545,14 +574,12 @@ def memory(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", text.memory_mib((F.col("l_partkey") % 513).cast("string")).alias("mib"))
 
 
-@query("q_h21_error_map", f"with {_E} select event_id, case type when 'error' then 4 when 'click' then 2 when 'view' then 5 when 'signup' then 1 else 9 end as code from e")
+@query("q_h21_error_map", f"with {_E} select event_id, case type when 'error' then case when event_id % 2 = 0 then 1 else 4 end when 'click' then 2 when 'view' then 5 when 'signup' then 1 else 9 end as code from e")
 def error_map(spark, sf_dir):
-    """What went wrong, as a wire code."""
-    names = {"error": "CRYPTO", "click": "NOT_FOUND", "view": "IO", "signup": "WRONG_PASSWORD"}
-    code = F.lit(text.ERRORS["INTERNAL"])
-    for kind, name in names.items():
-        code = F.when(F.col("type") == kind, text.ERRORS[name]).otherwise(code)
-    return mutations(spark, sf_dir).select("event_id", code.alias("code"))
+    """What went wrong, as a wire code; every second event is one of opening, where an authentication failure is a wrong password."""
+    kinds = {"error": "CRYPTO", "click": "NOT_FOUND", "view": "IO", "signup": "WRONG_PASSWORD"}
+    kind = F.element_at(F.create_map(*(F.lit(x) for item in kinds.items() for x in item)), F.col("type"))
+    return mutations(spark, sf_dir).select("event_id", text.error_code(kind, F.col("event_id") % 2 == 0).alias("code"))
 
 
 @query("q_h8_equal", f"with {_F}, g as (select source, text, min(ordinal) as first from f group by source, text) select f.ordinal, f.ordinal <> g.first as repeated from f join g on f.source = g.source and f.text = g.text")
@@ -569,5 +596,3 @@ def stream_windows(spark, sf_dir):
     from strongroom.streaming.ingest import hourly
 
     return hourly(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
-
-

@@ -105,3 +105,25 @@ def test_range_number(spark, n):
     got = [x[0] for x in spark.createDataFrame([(k,) for k in keys], "k long").select(range_number(points, F.col("k"))).collect()]
     if n:
         assert got == [bisect.bisect_right(points, k) for k in keys]
+
+
+def test_error_codes_magic_and_memory(spark):
+    kind = lambda k, o: text.error_code(F.lit(k), F.lit(o))
+    row = one(spark, kind("CRYPTO", True), kind("CRYPTO", False), kind("IO", True), kind(None, False), kind("?", True), text.has_magic(F.lit(b"SRM1x")), text.has_magic(F.lit(b"SRM")), text.has_magic(F.lit(None).cast("binary")), text.memory_mib_or_fail(F.lit("256")))
+    assert tuple(row) == (1, 4, 5, 9, 9, True, False, False, 256)
+    with pytest.raises(Exception, match="not 64"):
+        one(spark, text.memory_mib_or_fail(F.lit("64")))
+
+
+def test_table_digest_sees_multisets(spark):
+    from strongroom.operators.digest import row_mac, table_digest
+
+    def digest(rows):
+        t = spark.createDataFrame(rows, "a string, b long").repartition(3)
+        return tuple(table_digest(t.select(row_mac(lambda x: keyed.hmac256(b"k", x), F.col("a"), F.col("b")).alias("m")), "m").first())
+
+    rows = [(f"n{i}", i) for i in range(300)] + [(None, 1), ("", 1), ("1", 1), ("x", None)]
+    whole = digest(rows)
+    assert whole[0] == 304 and digest(rows[::-1]) == whole
+    assert len({whole, digest(rows[1:]), digest([*rows, rows[0]]), digest([*rows, rows[0], rows[0]]), digest([("n0", 1), *rows[1:]]), digest([("n00", None), *rows[1:]])}) == 6
+    assert digest([])[0] == 0
