@@ -7,8 +7,8 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges at least, and rows of a range about: the number of ranges grows with the table.
-RANGES, ROWS = 256, 200_000
+#: Ranges at least and at most, and rows of a range about: the number of ranges grows with the table.
+RANGES, MOST_RANGES, ROWS = 256, 65_536, 200_000
 LEAST = -(2**63)
 
 
@@ -17,13 +17,13 @@ def sort_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LEAST))
 
 
-def split_points(df: DataFrame, key: Column, ranges: int | None = None) -> list[int]:
+def split_points(df: DataFrame, key: Column, ranges: int | None = None, rows: int = ROWS) -> list[int]:
     """Values of key, the least first, that each begin a range; none for an empty table.
 
-    They are approximate quantiles, one for about ``ROWS`` rows, so their number is bounded by the table's rows over that.
+    They are approximate quantiles, one for about so many rows (fewer for wide rows), so their number is bounded by the table's rows over that.
     Which ones come out changes sizes only: a caller's result is the same for any.
     """
-    ranges = ranges or max(RANGES, -(-df.count() // ROWS))
+    ranges = ranges or min(MOST_RANGES, max(RANGES, -(-df.count() // rows)))
     row = df.agg(F.min(key).alias("least"), F.percentile_approx(key, [k / ranges for k in range(1, ranges)], max(10_000, 4 * ranges)).alias("at")).first()
     return [] if row["least"] is None else sorted({row["least"], *row["at"]})
 
