@@ -16,8 +16,8 @@ from strongroom.llm._common import whole_text
 
 THRESHOLD = 0.8
 WORD = "[a-z0-9]+"
-#: Templates that are compared, at most: the driver reads their words.
-MOST_TEMPLATES = 2_000
+#: Words of all templates that prune units where they stand, at most; with more the bounds on size prune alone, with the same result.
+MOST_WORDS = 20_000
 
 # License names and notices as their authors publish them.
 TEMPLATES = [
@@ -61,24 +61,27 @@ def pairs(w: Column) -> Column:
     return F.transform(bag, lambda g, i: F.concat_ws("#", g, F.size(F.filter(F.slice(bag, 1, i), lambda x: x == g)).cast("string")))
 
 
-def _prepared(templates: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, list[str], int, int]:
-    """The templates' bags; the sizes that each is compared with; all their words; the least and the greatest size."""
+def _prepared(templates: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, list[str] | None, int, int]:
+    """The templates' bags; the sizes that each is compared with; all their words, if they aren't too many; the least and the greatest size."""
     table = templates.where("template is not null").select("license", "template", words(F.col("template")).alias("w")).where(F.size("w") > 0).distinct()
-    rows = table.select("w").limit(MOST_TEMPLATES + 1).collect()
-    if len(rows) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    rows = table.select(F.explode("w").alias("w")).distinct().limit(MOST_WORDS + 1).collect()
     bags = table.select("license", "template", F.sha2(F.to_json(F.struct("license", "template")), 256).alias("id"), pairs(F.col("w")).alias("bag"))
     n, t = F.size("bag"), F.lit(threshold)
     low, high = F.greatest(F.lit(1), F.ceil(n * t / (2 - t) - 1e-9)), F.floor(n * (2 - t) / t + 1e-9)
     sizes = bags.select("id", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"))
     row = sizes.agg(F.min("size"), F.max("size")).first()
-    return bags, sizes, sorted({w for r in rows for w in r["w"]}), row[0] or 0, row[1] or 0
+    return bags, sizes, sorted(r["w"] for r in rows) if len(rows) <= MOST_WORDS else None, row[0] or 0, row[1] or 0
 
 
-def _runs(lines: Column, least: int, most: int, known: list[str], share: float) -> Column:
+def _known(w: Column, known: list[str] | None) -> Column:
+    """How many of the words are a template's; all of them where that isn't asked."""
+    return F.size(w if known is None else F.filter(w, lambda x: x.isin(known)))
+
+
+def _runs(lines: Column, least: int, most: int, known: list[str] | None, share: float) -> Column:
     """Runs of two or more of the lines (line, w; none without words) that the prunings leave, as first, last, w."""
     # Of a line beyond the greatest size, which is in no run, the words are not looked at.
-    counts = F.transform(lines, lambda s: F.struct(F.size(s["w"]).alias("n"), F.when(F.size(s["w"]) <= most + 1, F.size(F.filter(s["w"], lambda x: x.isin(known)))).otherwise(0).alias("k")))
+    counts = F.transform(lines, lambda s: F.struct(F.size(s["w"]).alias("n"), F.when(F.size(s["w"]) <= most + 1, _known(s["w"], known)).otherwise(0).alias("k")))
 
     def longer(run: Column, c: Column) -> Column:
         n, k, count = run["n"] + c["n"], run["k"] + c["k"], run["count"] + 1
@@ -124,7 +127,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     def alike(w: Column) -> Column:
         size = F.greatest(F.size(w) - 1, F.lit(1))
         # Shared pairs begin with as many shared words.
-        return size.between(least, most) & (F.size(F.filter(w, lambda x: x.isin(known))) >= size * share - 1e-9)
+        return size.between(least, most) & (_known(w, known) >= size * share - 1e-9)
 
     def unit(first: Column, last: Column, run: bool, w: Column) -> Column:
         return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), F.lit(run).alias("run"), w.alias("w"))

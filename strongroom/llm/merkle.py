@@ -6,8 +6,8 @@ by SHA-256, a paragraph by the hashes of its leaves, a section by those of its p
 sections.  The fingerprint is written ``root:section(paragraph(leaf leaf)paragraph(leaf))section(...)``, the root in full, other
 nodes by their first 12 hex digits; so roots test equality and branches that differ locate edits.
 
-Of the separators of sections (blank lines, and the indent after them) the tree has nothing, so texts that differ in them only
-have equal roots.  With ``whole`` each is a paragraph of one leaf, the first of the section that it leads to, and the tree loses nothing of the text.
+With ``whole``, as in the queries, each separator of sections (blank lines, and the indent after them) is a paragraph of one leaf, the first of the
+section that it leads to, and the tree loses nothing of the text.  Without it texts that differ in separators only have equal roots.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ LEAF = r"[^.!?]{1,120}[.!?]*|[.!?]+"
 SECTION = r"\n[ \t]*\n\s*"
 #: Hex digits that stand for a node below the root.
 SHORT = 12
+#: Documents of a range, about: texts of some kilobytes make some tens of megabytes.
+ROWS = 10_000
 
 
 def tree(text: Column, whole: bool = False) -> Column:
@@ -88,10 +90,12 @@ def edited(docs: DataFrame, ranges: int | None = None, whole: bool = False) -> D
     The edit replaces the last quarter (floor) of the text's code points by the first as many of the next document's, which is the
     next row by doc_id (null first), then text; the first one follows the last.  ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``.  A null text counts as empty.  Only a range's first row is
-    sent to two ranges, so each row finds the next one inside a window over its range.
+    sent to two ranges, so each row finds the next one inside a window over its range.  Rows that repeat a doc_id are ordered by text, and
+    repeated rows have equal fingerprints; one document follows itself; texts of any length are read whole; an empty table gives an empty
+    result; other columns are ignored, whatever their names.
     """
     rows = docs.select("doc_id", sort_key("doc_id").alias("id"), whole_text("text").alias("text"))
-    starts = split_points(docs.select("doc_id"), sort_key("doc_id"), ranges)
+    starts = split_points(docs.select("doc_id"), sort_key("doc_id"), ranges, ROWS)
     own = F.greatest(range_number(starts, F.col("id")), F.lit(1))
     before = F.when(own == 1, F.lit(len(starts))).otherwise(own - 1)
     home = F.struct(own.alias("home"), F.lit(0).alias("late"))
@@ -120,8 +124,9 @@ e as (
     substr(a.text, 1, length(a.text) - length(a.text) // 4) || substr(b.text, 1, length(a.text) // 4) as edit
   from d a join d b on b.r = a.r % a.n + 1),
 t as (
-  select *, [list_transform(regexp_split_to_array(x, '\n[ \t]*\n\s*'), lambda s: list_transform(string_split(s, chr(10)),
-    lambda p: list_transform(regexp_extract_all(p, '[^.!?]{1,120}[.!?]*|[.!?]+'), lambda l: sha256(l)))) for x in [text, edit, following]] as trees
+  select *, [list_transform(regexp_split_to_array(x, '\n[ \t]*\n\s*'), lambda s, i: list_concat(
+    case when i > 1 then [[sha256(regexp_extract_all(x, '\n[ \t]*\n\s*')[i - 1])]] else [] end, list_transform(string_split(s, chr(10)),
+    lambda p: list_transform(regexp_extract_all(p, '[^.!?]{1,120}[.!?]*|[.!?]+'), lambda l: sha256(l))))) for x in [text, edit, following]] as trees
   from e),
 m as (
   select *, [list_transform(x, lambda s: list_transform(s, lambda p: {'h': sha256(array_to_string(p, '')), 'w': '(' || array_to_string(list_transform(p, lambda l: l[1:12]), ' ') || ')'})) for x in trees] as paragraphs

@@ -42,11 +42,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.edited(documents(spark, sf_dir))
+    return merkle.edited(documents(spark, sf_dir), whole=True)
 
 
 def op1_merkle_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.edited(documents(spark, sf_dir), whole=True)
+    """Where each text's edit is: the numbers of the sections that the other's tree doesn't have."""
+    rows = merkle.edited(documents(spark, sf_dir), whole=True)
+    here, there = F.col("fingerprint"), F.col("edited_fingerprint")
+    return rows.select("doc_id", merkle.changed_sections(here, there).alias("replaced"), merkle.changed_sections(there, here).alias("new"))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

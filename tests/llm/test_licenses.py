@@ -90,3 +90,13 @@ def test_wrapped_notices_inside_a_text(spark):
     assert len(long) >= 6
     assert sorted(tuple(r)[:4] for r in got if r.template in kinds) == sorted(want)
     assert all(r.dice == 1.0 for r in got if r.template in kinds and r.doc_id != 51)
+
+
+def test_more_words_than_prune(spark, monkeypatch):
+    docs = spark.createDataFrame(texts(), "doc_id long, text string")
+    want = sorted((tuple(r) for r in L.scan(docs).collect()), key=str)
+    monkeypatch.setattr(L, "MOST_WORDS", 10)
+    assert sorted((tuple(r) for r in L.scan(docs).collect()), key=str) == want
+    many = spark.range(3000).selectExpr("concat('L', id) as license", "concat('license number ', id, ' of word', id, ' and more') as template")
+    few = docs.sparkSession.createDataFrame([(1, "License number 77 of word77 and more"), (2, "x\nlicense number 2999\nof word2999 and more\ny")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.dice) for r in L.scan(few, many, 0.95).collect()) == [(1, "L77", 1.0), (2, "L2999", 1.0)]

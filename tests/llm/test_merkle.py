@@ -87,3 +87,29 @@ def test_whole_tree_holds_blank_lines_and_indents(spark):
     assert rows == M.edited(docs.where("doc_id = 6")).collect() and rows[0].fingerprint == got[6]
     both = M.edited(docs.where("doc_id < 2"), whole=True).collect()
     assert {r.doc_id: r.fingerprint for r in both} == {0: got[0], 1: got[1]} and all(r.near_next < 1 for r in both)
+
+
+def test_one_document_and_very_long_texts(spark):
+    one = M.edited(spark.createDataFrame([(1, "a b. c d", "z")], "doc_id long, text string, h string")).collect()
+    assert [(r.doc_id, r.near_next) for r in one] == [(1, 1.0)] and len(one) == 1
+    long = "One more sentence of many. " * 40_000
+    rows = M.edited(spark.createDataFrame([(1, long), (2, long), (2, long)], "doc_id long, text string")).collect()
+    assert [r.n_chars for r in rows] == [len(long)] * 3 and len({r.fingerprint for r in rows}) == 1
+
+
+def test_whole_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    texts = [*TEXTS, "a\n\nb. c", "a\n\n\n b. c", "x.\n \n\n\ty\nz\n\nlast", "\n\n", "no blank\nlines! here"]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    want = sorted(duckdb.sql(M.ORACLE).fetchall(), key=str)
+    got = sorted((tuple(r) for r in M.edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), whole=True).collect()), key=str)
+    assert got == want
+
+
+def test_changed_sections_locate_an_edit(spark):
+    text = "First. One.\n\nSecond part.\n\nThird. " + "More words here. " * 3 + "\n\nLast section of the text, which is long enough to take all of the edit."
+    docs = spark.createDataFrame([(1, text), (2, "Other. Words.")], "doc_id long, text string")
+    row = M.edited(docs, whole=True).select("doc_id", M.changed_sections(F.col("fingerprint"), F.col("edited_fingerprint")).alias("c")).where("doc_id = 1").first()
+    assert row.c == [3]
