@@ -233,7 +233,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
     """``doc_id, lang_pred, score`` of each row of docs(doc_id, text).
 
     A null text or one without letters is ``und`` with score 0, as is any text where nothing was learnt.  Repeated rows agree;
-    of languages with as many letters the first by name is taken.
+    of languages with as many letters the first by name is taken.  Texts of any length are read whole, an empty table gives an empty
+    result, and columns other than doc_id and text are ignored, whatever their names.
     """
     found = docs.select("doc_id", language_column(model, penalty)(whole_text("text")).alias("r"))
     return found.select("doc_id", "r.lang_pred", "r.score")
