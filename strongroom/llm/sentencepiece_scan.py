@@ -720,6 +720,7 @@ def _backtraces(model: bytes):
                 counts, ids = p.encode_texts(pa.array([middle for _, middle, _ in found], pa.string()), False)
                 whole = [np.concatenate((np.array(head, np.int32), own, np.array(tail, np.int32))) for (head, _, tail), own in zip(found, np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("sha"), part.column("k"), pa.array(whole, pa.list_(pa.int32()))], ["sha", "k", "part_ids"])
+                pa.default_memory_pool().release_unused()
 
     return backtraces
 
@@ -783,6 +784,7 @@ def _both(model: bytes):
                 own = batch.column("doc_id").slice(done, len(part))
                 done += len(part)
                 yield pa.RecordBatch.from_arrays([own, pa.array(counts, pa.int64()), _lists(counts, ids), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+                pa.default_memory_pool().release_unused()
 
     return both
 

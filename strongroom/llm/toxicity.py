@@ -103,8 +103,8 @@ class Examples:
     width: int
 
     def only(self, rows: np.ndarray) -> Examples:
-        number = np.full(len(self.label), -1)
-        number[rows] = np.arange(len(rows))
+        number = np.full(len(self.label), -1, np.int32)
+        number[rows] = np.arange(len(rows), dtype=np.int32)
         kept = number[self.row] >= 0
         return Examples(number[self.row[kept]], self.column[kept], self.label[rows], self.share[rows] / self.share[rows].sum(), self.width)
 
@@ -136,7 +136,7 @@ def learn(examples: Examples, ratio: np.ndarray, least_chi: float, penalty: floa
     """Weights of the features (0 where chi-squared is less) and the bias, by penalised logistic regression on ratio times presence."""
     toxic, clean = examples.held()
     kept = chi_squared(toxic, clean, int(examples.label.sum()), int((1 - examples.label).sum())) >= least_chi
-    place = np.cumsum(kept) - 1
+    place = (np.cumsum(kept) - 1).astype(np.int32)
     inside = kept[examples.column]
     row, column, own = examples.row[inside], place[examples.column[inside]], ratio[kept]
 
@@ -153,23 +153,23 @@ def learn(examples: Examples, ratio: np.ndarray, least_chi: float, penalty: floa
     return weights, float(x[-1])
 
 
-def choose(examples: Examples, ratio: np.ndarray, grid: list[tuple[float, float]] = GRID, folds: int = FOLDS, threshold: float = THRESHOLD) -> tuple[float, float]:
+def choose(examples: Examples, grid: list[tuple[float, float]] = GRID, folds: int = FOLDS, threshold: float = THRESHOLD) -> tuple[float, float]:
     """The entry of the grid with the fewest wrong decisions at the threshold on examples that it was not fitted on, then the least loss.
 
     The first one where a fold lacks a class.
     """
     fold = np.arange(len(examples.label)) % folds
-    parts = [(examples.only(np.flatnonzero(fold != k)), examples.only(np.flatnonzero(fold == k))) for k in range(folds)]
-    if any(len(set(fitted.label)) < 2 or not len(rest.label) for fitted, rest in parts):
-        return grid[0]
-    least = np.log(threshold / (1 - threshold))
-
-    def missed(chi: float, penalty: float) -> tuple[float, float]:
-        margins = [(rest, rest.margin(*learn(fitted, log_ratio(*fitted.held()), chi, penalty, 20))) for fitted, rest in parts]
-        wrong = sum(float(rest.share @ ((margin >= least) != rest.label)) for rest, margin in margins)
-        return round(wrong, 9), sum(rest.loss(margin) for rest, margin in margins)
-
-    return min(grid, key=lambda at: missed(*at))
+    wrong, loss = np.zeros(len(grid)), np.zeros(len(grid))
+    for k in range(folds):
+        fitted, rest = examples.only(np.flatnonzero(fold != k)), examples.only(np.flatnonzero(fold == k))
+        if len(set(fitted.label)) < 2 or not len(rest.label):
+            return grid[0]
+        own = log_ratio(*fitted.held())
+        for at, (chi, penalty) in enumerate(grid):
+            margin = rest.margin(*learn(fitted, own, chi, penalty, 20))
+            wrong[at] += rest.share @ ((margin >= np.log(threshold / (1 - threshold))) != rest.label)
+            loss[at] += rest.loss(margin)
+    return grid[int(np.lexsort((loss, np.round(wrong, 9)))[0])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grid: list[tuple[float, float]] = GRID) -> Model:
@@ -202,9 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grid: list
     lengths = features.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     label = table.column("label").to_numpy().astype(float)
     share = np.where(label == 1, toxic / sizes[1], clean / sizes[0])
-    all_examples = Examples(np.repeat(np.arange(len(label)), lengths), features.flatten().to_numpy().astype(np.int64), label, share / share.sum(), len(best))
+    all_examples = Examples(np.repeat(np.arange(len(label), dtype=np.int32), lengths), features.flatten().to_numpy(), label, share / share.sum(), len(best))
     ratio = log_ratio(a, b)[best]
-    weights, bias = learn(all_examples, ratio, *choose(all_examples, ratio, grid))
+    del table, features, counts
+    weights, bias = learn(all_examples, ratio, *choose(all_examples, grid))
     return Model(slot, np.append(weights, 0.0), bias)
 
 

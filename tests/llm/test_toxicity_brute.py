@@ -92,7 +92,7 @@ def test_choice_is_of_the_examples_only():
     held = [np.flatnonzero(r.random(60) < np.where(np.arange(60) < 3, 0.1 + 0.8 * y, 0.3)) for y in label]
     examples = X.Examples(np.repeat(np.arange(200), [len(h) for h in held]), np.concatenate(held), label, np.full(200, 1 / 200), 60)
     ratio = X.log_ratio(*examples.held())
-    chi, penalty = X.choose(examples, ratio)
+    chi, penalty = X.choose(examples)
     assert (chi, penalty) in X.GRID
     weights, _ = X.learn(examples, ratio, chi, penalty)
     assert (weights[:3] > 0).all() and np.abs(weights[:3]).min() > np.abs(weights[3:]).max()
